@@ -1 +1 @@
-
+"""Column functions: text cleaning, splitting, parsing and label similarity."""

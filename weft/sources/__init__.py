@@ -1 +1 @@
-
+"""Readers and writers: document folders, triplet tables, HTML pages."""
