@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Punctuation that is folded, one character for one.
-FOLD_FROM, FOLD_TO = "–—‘’“” ", "--''\"\" "
+FOLD_FROM, FOLD_TO = "\u2013\u2014\u2018\u2019\u201c\u201d\u00a0", "--''\"\" "
 
 #: Characters that a concept loses at its ends, and that the parts of a triplet lose.
 CONCEPT_EDGE, TRIPLET_EDGE = ".:;'\"-", ".:;'\""
@@ -22,14 +22,14 @@ def strip(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Typographic marks folded, control and astral characters, page numbers and surplus white space gone."""
     steps = [
-        (r"[^\x09\x0A\x0D\x20-\x7E -￿]", ""),
+        (r"[^\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFF]", ""),
         (r"(?U)-\n(\S)", "$1"),
         (r"(?Umd)^\s*\d+\s*$", ""),
         (r"(?Umid)^page\s+\d+\s*(of\s+\d+)?\s*$", ""),
         (r"\n{3,}", "\n\n"),
     ]
     out = reduce(lambda t, s: F.regexp_replace(t, *s), steps, F.translate(c, FOLD_FROM, FOLD_TO))
-    lines = F.transform(F.split(out, "\r\n|[\n\r  ]", -1), strip)
+    lines = F.transform(F.split(out, r"\r\n|[\n\r\u2028\u2029]", -1), strip)
     return strip(F.regexp_replace(F.array_join(lines, "\n"), " {2,}", " "))
 
 
