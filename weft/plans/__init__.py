@@ -1 +1 @@
-
+"""Whole pipelines, the command line, and the registered queries."""
