@@ -27,11 +27,14 @@ def chunk_spans(docs: DataFrame, key: str = "doc_name", text: str = "text", size
 
     Word counts are positive, so where a chunk ends depends on where it starts only: the last sentence whose prefix
     sum stays within size, one sentence at least. The next one starts max(1, sentences - overlap) later, also at the
-    end of a document, which therefore ends in short chunks. No shuffle: a document is a row.
+    end of a document, which therefore ends in short chunks. No shuffle: a document is a row. Each step is exploded out
+    of an array of one, which keeps the optimizer from copying it into the lambdas of the next.
     """
-    own = docs.select(key, text, sentences(F.col(text)).alias("ss")).withColumn("w", F.transform("ss", word_count))
+    own = docs.select(key, text, F.explode(F.array(sentences(F.col(text)))).alias("ss"))
+    own = own.select(key, text, "ss", F.explode(F.array(F.transform("ss", word_count))).alias("w"))
     sums = F.aggregate("w", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return own.withColumn("p", sums).withColumn("sp", F.expr(_SPANS.format(size=int(size), overlap=int(overlap)))).drop("p")
+    own = own.select(key, text, "ss", "w", F.explode(F.array(sums)).alias("p"))
+    return own.select(key, text, "ss", "w", F.explode(F.array(F.expr(_SPANS.format(size=int(size), overlap=int(overlap))))).alias("sp"))
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_name", text: str = "text", size: int = 300, overlap: int = 2, drop_tail: bool = False) -> DataFrame:

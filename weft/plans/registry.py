@@ -70,10 +70,12 @@ def sentence_split(spark, sf):
 
 
 _SPANS = """WITH RECURSIVE {clean}, {sentence},
-p AS (SELECT doc_id, text, ss, w, list_prepend(0::BIGINT, list_transform(range(1, len(w) + 1), lambda i: list_sum(w[1:i])::BIGINT)) AS p FROM words WHERE len(w) > 0),
-c AS (SELECT doc_id, 0 AS chunk_id, 1::BIGINT AS s, greatest(1, len(list_filter(p, lambda q: q <= 300)) - 1)::BIGINT AS e FROM p
-  UNION ALL SELECT doc_id, chunk_id + 1, nx, greatest(nx, len(list_filter(p, lambda q: q - p[nx] <= 300)) - 1)::BIGINT
-    FROM (SELECT c.doc_id, c.chunk_id, p.p, p.w, c.s + greatest(1, c.e - c.s + 1 - 2) AS nx FROM c JOIN p USING (doc_id)) WHERE nx <= len(w))
+sr AS (SELECT doc_id, text, ss, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS n FROM words),
+cs AS MATERIALIZED (SELECT doc_id, text, i, ss[i] AS sentence, ss, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto, n FROM sr),
+sp AS MATERIALIZED (SELECT a.doc_id, a.i, greatest(a.i, max(b.i) FILTER (b.upto - a.upto + a.n <= 300)) AS e, max(b.upto) FILTER (b.upto - a.upto + a.n <= 300 OR b.i = a.i) - min(a.upto) + min(a.n) AS words
+  FROM cs a JOIN cs b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 300 GROUP BY a.doc_id, a.i),
+c AS (SELECT doc_id, 0 AS chunk_id, i AS s, e, words FROM sp WHERE i = 1
+  UNION ALL SELECT sp.doc_id, c.chunk_id + 1, sp.i, sp.e, sp.words FROM c JOIN sp ON sp.doc_id = c.doc_id AND sp.i = c.s + greatest(1, c.e - c.s + 1 - 2))
 """.replace("{clean}", tg.CLEAN_SQL).replace("{sentence}", tg.SENTENCE_SQL)
 
 
@@ -83,7 +85,7 @@ def chunk_spans(spark, sf):
     return spans.select("doc_id", "chunk_id", F.col("x.s").alias("first_sentence"), F.col("x.e").alias("last_sentence"))
 
 
-@query_(_SPANS + "SELECT doc_id, chunk_id::INT AS chunk_id, md5(array_to_string(ss[s:e], ' ')) AS text_md5, (p[e + 1] - p[s])::INT AS word_count, (instr(text, ss[s]) - 1)::INT AS char_start, (instr(text, ss[e]) - 1 + length(ss[e]))::INT AS char_end FROM c JOIN p USING (doc_id)")
+@query_(_SPANS + "SELECT doc_id, chunk_id::INT AS chunk_id, md5(array_to_string(ss[s:e], ' ')) AS text_md5, c.words::INT AS word_count, (instr(text, ss[s]) - 1)::INT AS char_start, (instr(text, ss[e]) - 1 + length(ss[e]))::INT AS char_end FROM c JOIN words USING (doc_id)")
 def chunk_offsets(spark, sf):
     rows = chunking.chunk_documents(cleaned(spark, sf), "doc_id")
     return rows.select("doc_id", "chunk_id", F.md5("text").alias("text_md5"), "word_count", "char_start", "char_end")
