@@ -277,7 +277,7 @@ def labels(spark, sf) -> DataFrame:
     return c.union(c.where("node < 'c'").select(F.concat("node", F.lit("s")))).distinct()
 
 
-_LABELS = CONCEPTS + ", c1 AS (SELECT DISTINCT token AS node FROM con), lb AS (SELECT node FROM c1 UNION SELECT node || 's' FROM c1 WHERE node < 'c')"
+_LABELS = CONCEPTS + ", lc AS (SELECT DISTINCT token AS node FROM con), lb AS (SELECT node FROM lc UNION SELECT node || 's' FROM lc WHERE node < 'c')"
 
 
 @query_(_LABELS + " SELECT a.node AS a, b.node AS b FROM lb a JOIN lb b ON rtrim(a.node, 's') = rtrim(b.node, 's') AND a.node < b.node AND abs(length(a.node) - length(b.node)) <= 2")
@@ -376,15 +376,15 @@ def subgraph_bfs(spark, sf):
 @query_(
     RELW
     + """, arc AS (SELECT src AS a, dst AS b FROM fe UNION SELECT dst, src FROM fe),
-bf(node, hop) AS (SELECT x, 0 FROM (SELECT min(lower(s_name)) AS x FROM supplier) UNION SELECT b, hop + 1 FROM bf JOIN arc ON a = node WHERE hop < 6),
+bf(node, hop) AS (SELECT x, 0 FROM (SELECT min(lower(p_name)) AS x FROM part) UNION SELECT b, hop + 1 FROM bf JOIN arc ON a = node WHERE hop < 6),
 lv AS (SELECT node, min(hop) AS hop FROM bf GROUP BY node),
-bk(node, hop) AS (SELECT node, hop FROM lv WHERE node = (SELECT max(lower(s_name)) FROM supplier) UNION ALL
+bk(node, hop) AS (SELECT node, hop FROM lv WHERE node = (SELECT max(lower(p_name)) FROM part) UNION ALL
   SELECT (SELECT min(a) FROM arc JOIN lv ON lv.node = arc.a WHERE arc.b = bk.node AND lv.hop = bk.hop - 1), bk.hop - 1 FROM bk WHERE bk.hop > 0),
 st AS (SELECT x.hop AS step, y.node AS src, x.node AS dst FROM bk x JOIN bk y ON y.hop = x.hop - 1)
 SELECT step::INT AS step, st.src, st.dst, coalesce(p.label, q.label) AS label FROM st LEFT JOIN fe p ON p.src = st.src AND p.dst = st.dst LEFT JOIN fe q ON q.src = st.dst AND q.dst = st.src"""
 )
 def shortest_path(spark, sf):
-    ends = tg.read(spark, sf, "supplier").agg(F.min(F.lower("s_name")), F.max(F.lower("s_name"))).first()
+    ends = tg.read(spark, sf, "part").agg(F.min(F.lower("p_name")), F.max(F.lower("p_name"))).first()
     return traverse.shortest_path(ready(spark, sf), ends[0], ends[1])
 
 
