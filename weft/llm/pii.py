@@ -42,7 +42,8 @@ PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join(
         r"\d{3}-\d{2}-\d{4}(?!\d)",
         r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
         r"(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d|\.\d)",
-        r"\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\d)",
+        r"\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{2,4}(?:[ .\-]\d{2,4}){1,2}?(?!\d)",
+        r"\+(?:\d{8,15}|\d{1,3}(?:[ .\-]\d{1,4}){2,5})(?!\d)",
         r"\(\d{2,4}\) ?\d{3,4}[ \-]\d{3,4}(?!\d)",
         r"\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)",
         rf"(?:{_ALL_TITLES})\.? {_WORD}(?: {_WORD})?",
