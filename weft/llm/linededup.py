@@ -48,11 +48,16 @@ def _halves(line):
 
     m is the largest power of two up to half the length; where a length begins a new m, the smaller one is given too,
     so that lines of lengths one apart always have an m in common. One edit leaves the first or the last m as it is.
+    A key holds the line's length or one more, so that only lines whose lengths are one apart at most share it.
     """
     n = F.char_length(line)
     m = F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
     sizes = F.when(F.pow(F.lit(2), F.floor(F.log2(n.cast("double")))).cast("int") == n, F.array(m, (m / 2).cast("int"))).otherwise(F.array(m))
-    blocks = F.flatten(F.transform(sizes, lambda s: F.array(F.xxhash64(F.lit(1), s, F.substring(line, F.lit(1), s)), F.xxhash64(F.lit(2), s, F.substring(line, n - s + 1, s)))))
+    def keys(s):
+        first, last = F.xxhash64(F.lit(1), s, F.substring(line, F.lit(1), s)), F.xxhash64(F.lit(2), s, F.substring(line, n - s + 1, s))
+        return F.array(*[F.xxhash64(h, n + more) for more in (0, 1) for h in (first, last)])
+
+    blocks = F.flatten(F.transform(sizes, keys))
     return F.when(n >= MIN_NEAR, blocks).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -101,7 +106,8 @@ def near_lines(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 
     kind = texts.schema["first"].dataType.simpleString()
     own = texts.mapInArrow(variants, f"h1 long, h2 long, first {kind}, key long, place int")
-    who = own.withColumn("w", F.struct("first", "h1", "h2"))
+    # One exchange by key serves both windows; a key's lines differ by one edit, so there are few of them.
+    who = own.repartition("key").withColumn("w", F.struct("first", "h1", "h2"))
     all_, group = Window.partitionBy("key"), Window.partitionBy("key", "place")
     who = who.withColumns({"in_group": F.min("w").over(group)})
     who = who.withColumns({"whole": F.min(F.when(F.col("place") == -1, F.col("w"))).over(all_), "any": F.min("w").over(all_)})
