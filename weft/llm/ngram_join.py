@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix, partitions, shingles
@@ -146,7 +147,7 @@ _DOC_SHAPE = "doc_id long, n long, leader long, alive boolean, h1 long, h2 long,
 
 def _gather(chunk: pa.Table) -> pa.Table:
     """Rows of a chunk's documents. A leader is alive if it shares enough tokens for any link; only then it has
-    tokens: all shared ones ascending, and its prefixes under both orders."""
+    tokens: all shared ones ascending, its prefix of the first order in that order, and that of the second ascending."""
     blobs = [(k, _unpack(b)) for k, b in zip(chunk.column("kind").to_pylist(), chunk.column("blob").to_pylist(), strict=True)]
     lead, sizes, h1, h2, hot_token, hot_doc, ids, member_of = next(b for k, b in blobs if k == 0)
     rest = [b for k, b in blobs if k == 1]
@@ -164,7 +165,7 @@ def _gather(chunk: pa.Table) -> pa.Table:
             continue
         length = prefix_length(n) - (n - len(t))  # tokens of one set come first in every order and match nothing
         first, second = t[np.lexsort((t, f))[:length]], t[np.lexsort((mix(t), f))[:length]]
-        packed.append((True, t.tobytes(), np.sort(first).tobytes(), np.sort(second).tobytes()))
+        packed.append((True, t.tobytes(), first.tobytes(), np.sort(second).tobytes()))
     done = set()
     for i, m in zip(ids.tolist(), member_of.tolist(), strict=True):
         own = int(lead[m]) == i and m not in done
@@ -181,16 +182,47 @@ def _gather(chunk: pa.Table) -> pa.Table:
 # --- 3. candidates by prefix tokens, verified; components -----------------------------------------------------------
 
 
+def _fits(na: Column, sa: Column, nb: Column, sb: Column) -> Column:
+    """Whether sets of n tokens can link if a token that they share is their first: they share at most the smaller s,
+    the shared tokens of a set from that one on."""
+    return (100 + PERCENT) * F.least(sa, sb) >= PERCENT * (na + nb)
+
+
+def _reach(n: Column, s: Column) -> Column:
+    """The largest size that a partner may have (_fits)."""
+    return F.floor((100 + PERCENT) * s / PERCENT - n)
+
+
+def _band(n: Column, per_link: int) -> Column:
+    """Number of a size on a log scale; sizes that allow a link are per_link bands apart at most, and one."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) * (per_link / math.log(100 / PERCENT))).cast("int")
+
+
 def _prefix_rows(sets: DataFrame, column: str) -> DataFrame:
-    """(token, id, n, label) for each prefix token of each set."""
+    """(token, id, n, s) for each prefix token of each set; s counts the set's shared tokens from this one on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(3)]
-            of = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), *(batch.column(k).take(of) for k in range(3))], ["token", "id", "n", "label"])
+            of = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]), pa.int64())
+            left = [s - np.arange(len(t)) for s, t in zip(batch.column(2).to_pylist(), tokens, strict=True)]
+            flat = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (tokens, left)]
+            yield pa.RecordBatch.from_arrays([flat[0], batch.column(0).take(of), batch.column(1).take(of), flat[1]], ["token", "id", "n", "s"])
 
-    return sets.select("id", "n", "label", column).mapInArrow(run, "token long, id long, n long, label long")
+    return sets.select("id", "n", "s", column).mapInArrow(run, "token long, id long, n long, s long")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: each prefix row with the pivots of its token, in its own band of sizes and the next.
+
+    A pivot is the set with the smallest share of tokens before this one or in no other set: it can link with most.
+    """
+    banded = rows.withColumn("k", _band(F.col("n"), 2))
+    purest = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), "id", "n", "s")).alias("p")
+    pivots = banded.groupBy("token", "k").agg(purest).select(F.col("token").alias("t"), F.explode(F.array(F.col("k"), F.col("k") - 1)).alias("pk"), "p")
+    met = banded.join(pivots, (F.col("token") == F.col("t")) & (F.col("k") == F.col("pk")))
+    met = met.where((F.col("id") != F.col("p.id")) & _fits(F.col("n"), F.col("s"), F.col("p.n"), F.col("p.s")))
+    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,17 +277,29 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def _cross_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """Distinct (a, b), a < b, of prefix rows: same token, sizes that allow a link, labels that differ.
+def _cross_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of prefix rows (token, id, n, s, label): same token, labels that differ, and _fits.
 
-    Tokens of one set and of one label alone give nothing. Rows of a token are walked in the order of size, so a set
-    only meets those at most a third larger.
+    Each token's sets outside of its largest component meet the token's sets; those inside never meet one another. A
+    set outside goes first if no band of sizes holds a set of another component within reach, so a set that is too far
+    from a group of near-copies to link costs nothing. What is known of a token's bands is bounded by the log of sizes.
     """
-    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
-    left = rows.join(several, F.col("token") == F.col("t")).select("token", "id", "n", "label")
-    a, b = left.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    fits = (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return a.join(b, "token").where(fits).select("a", "b").distinct()
+    known = rows.withColumns({"k": _band(F.col("n"), 8), "reach": _reach(F.col("n"), F.col("s"))})
+    parts = known.groupBy("token", "k", "label").agg(F.count("*").alias("c"), F.max("reach").alias("top"))
+    largest = F.max(F.struct("c", "label")).alias("main")
+    bands = parts.groupBy("token", "k").agg(largest, F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("top").alias("top"))
+    tokens = bands.groupBy("token").agg(F.max("main").alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("k", "lo", "hi", "top")).alias("bands"))
+    tokens = tokens.where("lo < hi").select(F.col("token").alias("t"), F.col("main.label").alias("main"), "bands")
+    low, high = _band(F.floor(PERCENT * F.col("n") / 100), 8), _band(F.col("reach"), 8)
+
+    def within_reach(b: Column) -> Column:
+        other = (b["lo"] != F.col("label")) | (b["hi"] != F.col("label"))
+        return other & (b["top"] >= F.col("n")) & b["k"].between(low, high)
+
+    outside = known.join(tokens, F.col("token") == F.col("t")).where((F.col("label") != F.col("main")) & F.exists("bands", within_reach))
+    a, b = (x.select("token", F.col("id").alias(f"i{c}"), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"), F.col("label").alias(f"l{c}")) for x, c in ((outside, "a"), (rows, "b")))
+    met = a.join(b, "token").where((F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb")))
+    return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,9 +312,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Every token of every set meets its equals once, as packed arrays by hash bucket, and learns how many sets have it.
     Documents with equal sets are one set; a token that many sets of a chunk have travels once a chunk. Under two
     orders, both rare tokens first but ties ordered differently, linking sets share a token of their prefixes; a
-    candidate must do so under both. Stars come first: in each token's group every set meets only the smallest id. The
-    links found merge most near-copies into components, and only sets of different components that still share a
-    prefix token are paired after that, so a group of near-copies costs its size, not its square.
+    candidate must do so under both. Stars come first: in each token's group every set meets only the
+    purest sets of about its size. The links found merge most near-copies into components. After that, only sets
+    outside of a token's largest component that have another component within reach meet the token's other sets.
     """
     spark = docs.sparkSession
     buckets = max(partitions(spark), docs.rdd.getNumPartitions())
@@ -282,14 +326,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     mapped = cut(alive.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("m"), "rep"))
     reps = mapped.where("m = rep").select("rep").distinct()
-    sets = cut(alive.join(reps, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label"), "n", "tokens", "first", "second"))
+    sets = cut(alive.join(reps, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "tokens", "first", "second"))
     prefix = _prefix_rows(sets, "first")
-    pivots = prefix.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").select(F.col("token").alias("t"), "b")
-    stars = prefix.join(pivots, F.col("token") == F.col("t")).where("b < id").select(F.col("id").alias("a"), "b").distinct()
-    edges = cut(_verify(stars, sets))
+    edges = cut(_verify(_stars(prefix), sets))
     labels = cut(components(sets.select("id"), edges))
-    labelled = cut(prefix.drop("label").join(labels, "id"))
-    more = cut(_verify(_cross_pairs(labelled, buckets), sets))
+    more = cut(_verify(_cross_pairs(cut(prefix.join(labels, "id"))), sets))
     if more.limit(1).count():
         labels = components(sets.select("id"), edges.unionByName(more))
     final = mapped.join(labels, F.col("rep") == F.col("id")).select("m", "label").groupBy("m").agg(F.min("label").alias("label"))
