@@ -81,12 +81,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """64-bit hash by word, bounded: it starts anew at a million words."""
+    """64-bit hash by word, bounded: it starts anew at 200,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word, 7)
         return got
