@@ -15,8 +15,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from the driver's checkout, if they have no other copy."""
+    """Lets Python workers import this package from the driver's checkout, if they have no other copy.
+
+    Also bounds Arrow batches: whole texts are long, and JVM and worker both hold a batch of them.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):

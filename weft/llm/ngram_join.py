@@ -17,6 +17,8 @@ from .common import cut, mix, partitions, shingles
 PERCENT = 75
 #: A chunk is so many documents or tokens of one input partition, whichever comes first.
 CHUNK_DOCS, CHUNK_TOKENS = 512, 300_000
+#: Hash buckets of tokens for each shuffle partition; a worker holds one bucket at a time.
+BUCKETS_A_PART = 4
 #: A token of more than this share of a chunk's distinct sets (32 of them at least) is frequent everywhere.
 FREQUENT_SHARE, FREQUENT = 16, np.uint32(0xFFFFFFFF)
 
@@ -319,7 +321,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     buckets = max(partitions(spark), docs.rdd.getNumPartitions())
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sent = _send(own.where("id is not null"), buckets)
+    sent = _send(own.where("id is not null"), BUCKETS_A_PART * buckets)
     answered = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, _SHAPE)
     rows = cut(answered.repartition(buckets, "chunk").groupBy("chunk").applyInArrow(_gather, _DOC_SHAPE))
     alive = rows.where("alive")
