@@ -106,7 +106,7 @@ c AS (SELECT doc_id, i, lower(trim(regexp_replace(parts[i], '^\s+|\s+$', '', 'g'
 SELECT doc_id, c AS concept FROM c WHERE length(c) BETWEEN 2 AND 60 AND len(regexp_split_to_array(trim(c), '\s+')) <= 5 GROUP BY doc_id, c"""
 )
 def concept_parse(spark, sf):
-    raw = F.concat(F.lit("1. "), F.regexp_replace(F.substring("text", 1, 200), r"\.", ".\n- "))
+    raw = F.concat(F.lit("1. "), F.regexp_replace("text", r"\.", ".\n- "))
     return docs(spark, sf).select("doc_id", F.explode(parse_concepts(raw)).alias("concept"))
 
 
