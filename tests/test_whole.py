@@ -25,3 +25,19 @@ def test_concepts_of_whole_text(spark, tmp_path):
     got = {tuple(r) for r in QUERIES["concept_parse"](spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {(k, c) for k, t in enumerate(texts) if t is not None for c in concepts(t)}
     assert {(0, "tail concept"), (0, "end")} <= got
+
+
+def test_triplets_of_whole_text(spark, tmp_path):
+    # The 400th character falls into the second line, whose first three parts are no triplet.
+    cut = "one two, uses, " + "x" * 20 + ", four, five"
+    texts = ["p" * 370 + "\n" + cut + "\nfar away, is in, the tail\na, b, c.", "a, b, c", "", None]
+
+    def triplets(t):
+        for line in t.split("\n"):
+            parts = [x.strip().lower().strip(".:;'\"") for x in re.sub(r"^[-*•]\s*", "", line.strip()).split(", ")]
+            if len(parts) == 3 and all(x and len(x.split()) <= 8 for x in parts):
+                yield tuple(parts)
+
+    got = sorted(tuple(r) for r in QUERIES["triplet_parse"](spark, documents(spark, tmp_path, texts)).collect())
+    assert got == sorted((k, *x) for k, t in enumerate(texts) if t is not None for x in triplets(t))
+    assert (0, "far away", "is in", "the tail") in got

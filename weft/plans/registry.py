@@ -117,7 +117,7 @@ b AS (SELECT doc_id, list_transform(string_split(replace(regexp_replace(regexp_r
 SELECT doc_id, p[1] AS subject, p[2] AS predicate, p[3] AS object FROM b WHERE len(p) = 3 AND len(list_filter(p, lambda x: x = '' OR len(regexp_split_to_array(trim(x), '\s+')) > 8)) = 0"""
 )
 def triplet_parse(spark, sf):
-    raw = F.array_join(F.transform(F.split(F.substring("text", 1, 400), "\n"), lambda x: F.concat(F.lit("1) "), F.regexp_replace(x, ", ", "|"))), "\n")
+    raw = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("1) "), F.regexp_replace(x, ", ", "|"))), "\n")
     return docs(spark, sf).select("doc_id", F.explode(parse_triplet_lines(raw)).alias("t")).select("doc_id", "t.*")
 
 
