@@ -196,3 +196,10 @@ def test_empty_tables(spark):
     assert linededup.dedup_lines(docs).count() == 0
     assert fingerprint.fingerprint_edits(docs).count() == 0
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_lines_that_differ_behind_an_equal_character(spark):
+    lines = ["the order 1100 was paid today", "the order 1200 was paid today", "aabb" * 8, "aabb" * 4 + "aacb" + "aabb" * 3, "the order 1300 was lost again", "the order 1220 was paid today"]
+    got = [r.text for r in linededup.dedup_lines(rows(spark, ["\n".join(lines), *lines])).orderBy("doc_id").collect()]
+    assert got[0] == "\n".join([lines[0], lines[2], lines[4]])
+    assert got[1:] == [""] * len(lines)

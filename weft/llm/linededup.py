@@ -28,13 +28,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 def deletion_keys(line: str, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and places of the variants of a line with the character at low <= place < high deleted.
 
-    The key hashes the variant's characters, so it equals the key (line_key) of a line that reads like it. Of a run of
-    equal characters only the first is deleted: the others give the same variant.
+    The key hashes the variant's characters, so it equals the key (line_key) of a line that reads like it. A run of
+    equal characters gives the same variant at each of its places: a substitution is matched by its place.
     """
     p = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(p) * _powers(_B, len(p)), dtype=np.uint64)])
-    at = np.nonzero(np.concatenate([[True], p[1:] != p[:-1]]))[0]
-    at = at[(at >= low) & (at < high)]
+    at = np.arange(max(low, 0), min(high, len(p)))
     return mix(sums[at] + (sums[-1] - sums[at + 1]) * np.uint64(_BINV)).view(np.int64), at.astype(np.int32)
 
 
