@@ -41,3 +41,37 @@ def test_triplets_of_whole_text(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["triplet_parse"](spark, documents(spark, tmp_path, texts)).collect())
     assert got == sorted((k, *x) for k, t in enumerate(texts) if t is not None for x in triplets(t))
     assert (0, "far away", "is in", "the tail") in got
+
+
+WORDS = ["learn learning learned", "unlearning learning graph graphs", "stone cornerstone graph", "brick bricks paper learning"]
+
+
+def roots(labels):
+    """The longest label of each component of plural, containment and trigram pairs, ties by the label."""
+    tri = lambda w: {f"  {w}  "[k : k + 3] for k in range(len(w) + 2)}
+    plural = lambda a, b: a.rstrip("s") == b.rstrip("s") and abs(len(a) - len(b)) <= 2
+    holds = lambda a, b: min(len(a), len(b)) > 4 and len(a) != len(b) and (a in b or b in a)
+    near = lambda a, b: len(tri(a) & tri(b)) >= 0.85 * len(tri(a) | tri(b))
+    part = {x: {x} for x in labels}
+    for a in labels:
+        for b in labels:
+            if a < b and (plural(a, b) or holds(a, b) or near(a, b)):
+                both = part[a] | part[b]
+                part.update(dict.fromkeys(both, both))
+    return {x: min(c, key=lambda y: (-len(y), y)) for x, c in part.items()}
+
+
+def test_merges_by_containment(spark, tmp_path):
+    folder = documents(spark, tmp_path, WORDS)
+    tokens = {x for t in WORDS for x in t.split() if len(x) >= 5}
+    to = roots(tokens | {x + "s" for x in tokens if x < "c"})
+    assert to["learn"] == "unlearning" and to["stone"] == "cornerstone"
+    assert dict(map(tuple, QUERIES["dedup_components"](spark, folder).collect())) == {x: y for x, y in to.items() if x != y}
+    want = {}
+    for t in WORDS:
+        words = sorted({x for x in t.split() if len(x) >= 5}, key=lambda x: (-t.split().count(x), x))
+        for k, a in enumerate(words):
+            for b in words[k + 1 :]:
+                if to[a] != to[b]:
+                    want[to[a], to[b]] = want.get((to[a], to[b]), 0) + 1
+    assert {(r.src, r.dst): r.edge_count for r in QUERIES["apply_merges"](spark, folder).collect()} == want

@@ -309,7 +309,7 @@ best AS (SELECT c, arg_min(node, (-length(node), node)) AS name FROM m GROUP BY
 @query_(_MERGE + " SELECT node, name AS merged_into FROM ren")
 def dedup_components(spark, sf):
     nodes = labels(spark, sf).withColumn("node_ord", F.col("node"))
-    return tidy.merge_names(nodes, tidy.duplicate_pairs(nodes, containment=False)).withColumnRenamed("to", "merged_into")
+    return tidy.merge_names(nodes, tidy.duplicate_pairs(nodes)).withColumnRenamed("to", "merged_into")
 
 
 @query_(_MERGE + """, ce AS (SELECT x.token AS src, y.token AS dst, count(*) AS c FROM con x JOIN con y ON x.doc_id = y.doc_id AND x.rk < y.rk GROUP BY ALL),
@@ -318,7 +318,7 @@ SELECT src, dst, sum(c)::BIGINT AS edge_count FROM re WHERE src <> dst GROUP BY
 def apply_merges(spark, sf):
     g = graph.build_graph(extract.triplet_table(extract.cooccurrence(tg.text_concepts(spark, sf))))
     nodes = labels(spark, sf).withColumn("node_ord", F.col("node"))
-    return tidy.relabel(g, tidy.merge_names(nodes, tidy.duplicate_pairs(nodes, containment=False))).edges.select("src", "dst", "edge_count")
+    return tidy.relabel(g, tidy.merge_names(nodes, tidy.duplicate_pairs(nodes))).edges.select("src", "dst", "edge_count")
 
 
 @query_(DIRTY + """, k AS (SELECT e.*, v.node_ord AS o FROM e JOIN v ON e.src = v.node), r AS (SELECT *, count(*) FILTER (cooc) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS n,
