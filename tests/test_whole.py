@@ -2,7 +2,10 @@
 
 import re
 
-from weft.plans.registry import QUERIES
+import duckdb
+
+from weft.plans import testgraphs
+from weft.plans.registry import ORACLES, QUERIES
 
 
 def documents(spark, folder, texts):
@@ -75,3 +78,22 @@ def test_merges_by_containment(spark, tmp_path):
                 if to[a] != to[b]:
                     want[to[a], to[b]] = want.get((to[a], to[b]), 0) + 1
     assert {(r.src, r.dst): r.edge_count for r in QUERIES["apply_merges"](spark, folder).collect()} == want
+
+
+def test_label_passes_over_tables(spark):
+    """The registered SQL of the 16 rows, over the star schema."""
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("nation", "region", "supplier", "customer", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name in ("triplet_normalise", "relabel_merge", "abbrev_expand", "junk_nodes"):
+        got = QUERIES[name](spark, sf)
+        sql = ORACLES[name].replace(testgraphs.DIRTY_SQL, testgraphs.REL_SQL)
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), name
+
+
+def test_graph_passes_over_documents(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["stone paper stone", "paper stone paper", "paper stone paper", "brick their paper", "cornerstone brick"])
+    assert {tuple(r) for r in QUERIES["reciprocal_prune"](spark, folder).collect()} == {("paper", "stone", 2), ("brick", "paper", 1), ("brick", "their", 1), ("paper", "their", 1), ("brick", "cornerstone", 1)}
+    got = {(r.src, r.dst): r.edge_count for r in QUERIES["tidy_graph"](spark, folder).collect()}
+    assert got == {("paper", "cornerstone"): 2, ("brick", "paper"): 1, ("brick", "cornerstone"): 1}

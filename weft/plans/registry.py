@@ -43,6 +43,11 @@ def event(spark: SparkSession, sf: str) -> Graph:
     return graph.build_graph(tg.event(spark, sf))
 
 
+def words(spark: SparkSession, sf: str) -> Graph:
+    """The documents' co-occurrence graph: junk, containment and pairs in both directions occur in it."""
+    return graph.build_graph(extract.triplet_table(extract.cooccurrence(tg.text_concepts(spark, sf))))
+
+
 def ready(spark: SparkSession, sf: str) -> Graph:
     """The relational graph, weighted and without weak edges, in the shared folder: queries read it several times."""
     return weights.filter_weak(weights.weigh(rel(spark, sf))).settled()
@@ -147,7 +152,7 @@ def concept_distinct(spark, sf):
 
 @query_(DIRTY + " SELECT src, predicate, dst, chunk_id::INT AS chunk_id, doc_name FROM n")
 def triplet_normalise(spark, sf):
-    return graph.normalise_triplets(tg.dirty(spark)).drop("row_ord")
+    return graph.normalise_triplets(tg.relational(spark, sf)).drop("row_ord")
 
 
 @query_(EVENT + " SELECT src, dst, edge_count, predicates, chunk_ids FROM e")
@@ -250,7 +255,7 @@ def label_normalise(spark, sf):
 
 @query_(DIRTY + " SELECT node, " + _EXPAND.format(c="node") + " AS expanded FROM v")
 def abbrev_expand(spark, sf):
-    return graph.build_graph(tg.dirty(spark)).nodes.select("node", tidy.expand(F.col("node")).alias("expanded"))
+    return rel(spark, sf).nodes.select("node", tidy.expand(F.col("node")).alias("expanded"))
 
 
 _RELABEL = DIRTY + ", nm AS (SELECT node, CASE WHEN x = '' THEN node ELSE " + _EXPAND.format(c="x") + " END AS name FROM (SELECT node, " + _LABEL.format(c="node") + " AS x FROM v)), r AS (SELECT a.name AS src, b.name AS dst, e.edge_count, e.edge_ord FROM e JOIN nm a ON e.src = a.node JOIN nm b ON e.dst = b.node)"
@@ -258,7 +263,7 @@ _RELABEL = DIRTY + ", nm AS (SELECT node, CASE WHEN x = '' THEN node ELSE " + _E
 
 @query_(_RELABEL + " SELECT src, dst, sum(edge_count)::BIGINT AS edge_count, min(edge_ord) AS edge_ord FROM r WHERE src <> dst GROUP BY src, dst")
 def relabel_merge(spark, sf):
-    return tidy.normalise_labels(graph.build_graph(tg.dirty(spark))).edges.select("src", "dst", "edge_count", "edge_ord")
+    return tidy.normalise_labels(rel(spark, sf)).edges.select("src", "dst", "edge_count", "edge_ord")
 
 
 _JUNK = r"""CASE WHEN length(x) < 2 THEN 'too short' WHEN len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) < 1 THEN 'no words'
@@ -268,7 +273,7 @@ _JUNK = r"""CASE WHEN length(x) < 2 THEN 'too short' WHEN len(list_filter(regexp
 
 @query_(DIRTY + " SELECT x AS node, " + _JUNK + " AS reason FROM (SELECT node AS x FROM v) WHERE " + _JUNK + " IS NOT NULL")
 def junk_nodes(spark, sf):
-    return graph.build_graph(tg.dirty(spark)).nodes.select("node", tidy.junk_reason(F.col("node")).alias("reason")).where("reason IS NOT NULL")
+    return rel(spark, sf).nodes.select("node", tidy.junk_reason(F.col("node")).alias("reason")).where("reason IS NOT NULL")
 
 
 def labels(spark, sf) -> DataFrame:
@@ -316,7 +321,7 @@ def dedup_components(spark, sf):
 re AS (SELECT coalesce(p.name, src) AS src, coalesce(q.name, dst) AS dst, c FROM ce LEFT JOIN ren p ON src = p.node LEFT JOIN ren q ON dst = q.node)
 SELECT src, dst, sum(c)::BIGINT AS edge_count FROM re WHERE src <> dst GROUP BY src, dst""")
 def apply_merges(spark, sf):
-    g = graph.build_graph(extract.triplet_table(extract.cooccurrence(tg.text_concepts(spark, sf))))
+    g = words(spark, sf)
     nodes = labels(spark, sf).withColumn("node_ord", F.col("node"))
     return tidy.relabel(g, tidy.merge_names(nodes, tidy.duplicate_pairs(nodes))).edges.select("src", "dst", "edge_count")
 
@@ -324,7 +329,7 @@ def apply_merges(spark, sf):
 @query_(DIRTY + """, k AS (SELECT e.*, v.node_ord AS o FROM e JOIN v ON e.src = v.node), r AS (SELECT *, count(*) FILTER (cooc) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS n,
 row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY edge_count DESC, o) AS rn FROM k) SELECT src, dst, edge_count FROM r WHERE n < 2 OR rn = 1""")
 def reciprocal_prune(spark, sf):
-    return tidy.prune_reciprocal(graph.build_graph(tg.dirty(spark))).edges.select("src", "dst", "edge_count")
+    return tidy.prune_reciprocal(words(spark, sf)).edges.select("src", "dst", "edge_count")
 
 
 @query_(REL + ", q AS (SELECT node FROM d WHERE degree >= 2) SELECT src, dst FROM e WHERE src IN (SELECT node FROM q) AND dst IN (SELECT node FROM q)")
@@ -339,7 +344,7 @@ def node_report(spark, sf):
 
 @query_()
 def tidy_graph(spark, sf):
-    return tidy.tidy(graph.build_graph(tg.dirty(spark))).edges.select("src", "dst", "edge_count", "label")
+    return tidy.tidy(words(spark, sf)).edges.select("src", "dst", "edge_count", "label")
 
 
 # --- queries ------------------------------------------------------------------------------------------------------
