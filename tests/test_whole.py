@@ -4,6 +4,7 @@ import re
 
 import duckdb
 
+from weft.operators import graph, query, traverse
 from weft.plans import testgraphs
 from weft.plans.registry import ORACLES, QUERIES
 
@@ -97,3 +98,15 @@ def test_graph_passes_over_documents(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["reciprocal_prune"](spark, folder).collect()} == {("paper", "stone", 2), ("brick", "paper", 1), ("brick", "their", 1), ("paper", "their", 1), ("brick", "cornerstone", 1)}
     got = {(r.src, r.dst): r.edge_count for r in QUERIES["tidy_graph"](spark, folder).collect()}
     assert got == {("paper", "cornerstone"): 2, ("brick", "paper"): 1, ("brick", "cornerstone"): 1}
+
+
+def test_paths_and_many_matches(spark):
+    schema = "subject string, predicate string, object string, chunk_id int, doc_name string, row_ord long"
+    arcs = ["ab", "cb", "cd", "ae", "ed", "df", "xy"]
+    g = graph.build_graph(spark.createDataFrame([(s, "uses", o, 0, "x", k) for k, (s, o) in enumerate(arcs)], schema)).settled()
+    path = traverse.shortest_path(g, "b", "f").orderBy("step").collect()
+    assert [tuple(r) for r in path] == [(1, "b", "c", "uses"), (2, "c", "d", "uses"), (3, "d", "f", "uses")]
+    assert traverse.shortest_path(g, "a", "x").count() == 0
+    star = graph.build_graph(spark.createDataFrame([("hub", "uses", f"leaf {k}", 0, "x", k) for k in range(1200)], schema)).settled()
+    assert set(query.find_node(star, "leaf")) == {f"leaf {k}" for k in range(1200)}
+    assert query.find_node(star, "leaf", most=2)[:2] == ["leaf 0", "leaf 1"]

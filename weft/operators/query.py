@@ -48,12 +48,13 @@ def lookup_fuzzy(g: Graph, query: str, n: int = 5, cutoff: float = 0.6) -> DataF
     return able.select("node", ratio("node").alias("ratio")).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), F.desc("node")).limit(n)
 
 
-def find_node(g: Graph, query: str, cutoff: float = 0.6, most: int = 1000) -> list[str]:
-    """Labels for a query: the exact one alone, else substring matches in node order, then fuzzy ones."""
+def find_node(g: Graph, query: str, cutoff: float = 0.6, most: int | None = None) -> list[str]:
+    """Labels for a query: the exact one alone, else all substring matches (or the first `most`) in node order, then fuzzy ones."""
     exact = [r.node for r in lookup_exact(g, query).collect()]
     if exact:
         return exact
-    found = [r.node for r in lookup_substring(g, query).orderBy("node_ord").limit(most).collect()]
+    matches = lookup_substring(g, query).orderBy("node_ord")
+    found = [r.node for r in (matches if most is None else matches.limit(most)).collect()]
     return found + [r.node for r in lookup_fuzzy(g, query, cutoff=cutoff).collect() if r.node not in found]
 
 

@@ -34,12 +34,13 @@ def subgraph(g: Graph, node: str, depth: int = 2) -> Graph:
     return keep_nodes(g, reach(g, g.nodes.where(F.col("node") == node), depth))
 
 
-def shortest_path(g: Graph, source: str, target: str, most: int = 100) -> DataFrame:
+def shortest_path(g: Graph, source: str, target: str) -> DataFrame:
     """(step, src, dst, label) along a shortest undirected path; of equal ones, back from the target, the one whose
     next node is the smallest.
 
     A row's label is that of src->dst if there is such an edge, else of dst->src. No rows if there is no path or the
-    ends are one node. Levels grow until the target is met; the walk back reads one level a step.
+    ends are one node. Levels grow until the target is met or one is empty, however long the path; the walk back reads one level a step.
+    A level's neighbours lie in it, the one before or the next, so only those two are taken out.
     """
     schema = "step int, src string, dst string, label string"
     spark = g.nodes.sparkSession
@@ -48,7 +49,7 @@ def shortest_path(g: Graph, source: str, target: str, most: int = 100) -> DataFr
     arcs = _arcs(g)
     start = g.nodes.where(F.col("node") == source).select("node")
     seen, front, levels = start, start, []
-    for _ in range(most):
+    while True:
         near = front.select(F.col("node").alias("u")).join(arcs, "u").join(seen.withColumnRenamed("node", "v"), "v", "left_anti")
         level = cut(near.groupBy("v").agg(F.min("u").alias("u")))
         if not level.limit(1).count():
@@ -56,10 +57,8 @@ def shortest_path(g: Graph, source: str, target: str, most: int = 100) -> DataFr
         levels.append(level)
         if level.where(F.col("v") == target).limit(1).count():
             break
-        front = level.select(F.col("v").alias("node"))
-        seen = seen.union(front)
-    else:
-        return spark.createDataFrame([], schema)
+        last, front = front, level.select(F.col("v").alias("node"))
+        seen = last.union(front)
     steps, at = [], target
     for k in range(len(levels), 0, -1):
         before = levels[k - 1].where(F.col("v") == at).first().u
