@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..staging import cut
+from .components import components as connected
 
 
 @dataclass(frozen=True)
@@ -73,10 +74,6 @@ def build_graph(triplets: DataFrame, min_count: int = 1) -> Graph:
     return Graph(node_table(rows), edge_table(rows, min_count))
 
 
-def with_degrees(g: Graph) -> Graph:
-    return Graph(g.nodes.drop("in_degree", "out_degree", "degree").join(degrees(g), "node"), g.edges)
-
-
 def top_nodes(g: Graph, n: int = 20) -> DataFrame:
     """(node, degree): the n nodes of highest degree, ties by first place."""
     return degrees(g).join(g.nodes.select("node", "node_ord"), "node").orderBy(F.desc("degree"), "node_ord").limit(n).select("node", "degree")
@@ -92,21 +89,9 @@ def counts(g: Graph) -> DataFrame:
 
 
 def components(g: Graph) -> DataFrame:
-    """(node, component): the first node (by label) of its weak component.
-
-    Smallest labels spread over edges and along labels' own labels until nothing changes; rounds grow with the
-    logarithm of the longest chain, and each is cut in the shared folder.
-    """
-    both = cut(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(g.edges.select("dst", "src")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("l")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("l").alias("m")), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
-        low = labels.join(near, "node").select("node", "l", F.least("l", "m").alias("m"))
-        moved = cut(low.join(labels.select(F.col("node").alias("m"), F.col("l").alias("top")), "m").select("node", "l", F.least("m", "top").alias("new")))
-        changed = moved.where("new < l").limit(1).count()
-        labels = moved.select("node", F.col("new").alias("l"))
-        if not changed:
-            return g.nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("l", "node").alias("component"))
+    """(node, component): the first node (by label) of its weak component."""
+    found = connected(g.nodes.select(F.col("node").alias("id")), g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return found.select(F.col("id").alias("node"), F.col("label").alias("component"))
 
 
 def summary(g: Graph, top: int = 5) -> DataFrame:
