@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -46,7 +47,8 @@ def test_ordinal_orders_three_grades(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("quality"))
     got = textmodels.grade_quality(docs, labels).where("held_out").withColumn("g", F.col("doc_id") % 3).groupBy("g").agg(F.avg("expected_grade").alias("e")).orderBy("g").collect()
     assert got[0].e < 0.7 < got[1].e < 1.4 < got[2].e
-    assert textmodels.grade_quality(docs, labels.limit(0)).where("selected").count() == 240
+    none = textmodels.grade_quality(docs, labels.limit(0))
+    assert none.count() == 240 and none.where("selected or expected_grade is not null").count() == 0
 
 
 def test_toxicity_held_out(spark):
@@ -96,9 +98,9 @@ def test_lines_equal_brute_force(spark):
 
 
 def test_sentencepiece_equals_library(spark):
-    texts = ["", " ", "a  b", "\n\nx", "▁ y", "é😀　z", "a" * 300, "tab\there", None, *(prose(k, 30) for k in range(5))]
+    texts = ["", " ", "a  b", "\n\nx", "▁ y", "é😀　z", "a" * 300, "tab\there", None, "a\U0010ffff  b\U0010ffff c", "x\U0010ffff", "a\n b\n", "\u0085 \u2028", "y" * 250 + ". z." * 3, *(prose(k, 30) for k in range(5))]
     got = sentencepiece_codec.encode_documents(rows(spark, texts), tokenizer_path(), check_one_in=1).orderBy("doc_id").collect()
-    lib = sentencepiece_codec.codec(tokenizer_path()).library
+    lib = sentencepiece_codec.Codec(tokenizer_path()).library
     for t, g in zip(texts, got, strict=True):
         ids = lib.encode(t or "", add_bos=True, add_eos=True)
         assert g.n_tokens == len(ids) and g.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
@@ -203,3 +205,86 @@ def test_lines_that_differ_behind_an_equal_character(spark):
     got = [r.text for r in linededup.dedup_lines(rows(spark, ["\n".join(lines), *lines])).orderBy("doc_id").collect()]
     assert got[0] == "\n".join([lines[0], lines[2], lines[4]])
     assert got[1:] == [""] * len(lines)
+
+
+def test_grades_of_any_number(spark):
+    texts = [f"{prose(k, 20)} " + " ".join(["good"] * (k % 20)) for k in range(600)]
+    docs = rows(spark, texts)
+    labels = docs.select("doc_id", (F.col("doc_id") % 100 / 4).alias("quality"))
+    model = textmodels.fit_ordinal(docs, labels, steps=5)
+    assert model["grades"].tolist() == sorted({k % 100 / 4 for k in range(600) if zlib.crc32(str(k).encode()) % 5})
+    assert len(model["grades"]) > 90 and (np.diff(model["theta"]) > 0).all()
+    got = textmodels.score_quality(docs.limit(20), model, tail_from=10.0).collect()
+    assert all(0 <= g.tail_probability <= 1 and 0 <= g.expected_grade <= 24.75 for g in got)
+    assert textmodels.score_quality(docs, model, tail_from=0.0).where("tail_probability != 1").count() == 0
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") / 7).alias("quality"))
+    with pytest.raises(ValueError):
+        textmodels.sample_labels(many, "quality")
+
+
+def test_ordinal_equals_a_dense_fit():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 6))
+    y = np.digitize(x @ [1.0, -2, 0.5, 0, 0, 1] + r.logistic(size=400), [-2.0, 0.0, 1.5])
+    weight, l2 = r.uniform(0.5, 2, 400), 1e-2
+
+    def loss(w, theta):
+        cdf = 1 / (1 + np.exp(-(np.concatenate([[-np.inf], theta, [np.inf]])[None, :] - (x @ w)[:, None])))
+        return -(weight / weight.sum() * np.log(np.diff(cdf)[np.arange(400), y])).sum() + l2 / 2 * (w @ w)
+
+    w, theta = textmodels.solve_ordinal(np.full(400, 6), np.tile(np.arange(6), 400), x.ravel(), y, weight, 6, 2000, l2)
+    best = loss(w, theta)
+    point, step = np.concatenate([w, theta]), 1e-4
+    for k in range(9):  # at the optimum no parameter's change lowers the loss
+        for d in (step, -step):
+            moved = point.copy()
+            moved[k] += d
+            assert loss(moved[:6], moved[6:]) > best - 1e-8
+    plain = np.zeros(9)
+    plain[6:] = [-1, 0, 1]
+    for _ in range(4000):  # and plain descent with numeric slopes ends in the same place
+        slope = np.array([(loss(*np.split(plain + 1e-5 * e, [6])) - loss(*np.split(plain - 1e-5 * e, [6]))) / 2e-5 for e in np.eye(9)])
+        plain -= 1.0 * slope
+        if np.abs(slope).max() < 1e-6:
+            break
+    assert np.allclose(plain, point, atol=2e-3)
+
+
+def test_training_rows_stay_bounded(spark):
+    docs = spark.createDataFrame([(k % 10, f"text {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 10, k % 2) for k in range(300)], "doc_id long, toxic int")
+    assert textmodels._labelled(docs, labels, "toxic", 4).groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("k, near, alphabet, lengths", [(1, 20, "ab1. ", (30, 31, 32, 33, 63, 64, 65)), (1, 2, "ab1é", (2, 3, 4, 7, 8, 9, 15, 16, 17)), (2, 3, "ab1.", (4, 6, 8, 9, 12)), (0, 0, "ab", (1, 2, 3))])
+def test_lines_within_any_bound_equal_brute_force(spark, k, near, alphabet, lengths):
+    r = random.Random(k)
+
+    def edited(line):
+        for _ in range(r.randrange(4)):
+            at, kind = r.randrange(len(line) + 1), r.randrange(3)
+            line = line[:at] + (r.choice(alphabet) if kind < 2 else "") + line[at + (kind > 0) :]
+        return line
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    base = ["".join(r.choice(alphabet) for _ in range(r.choice(lengths))) for _ in range(20)] + ["-" * max(lengths)]
+    texts = ["\n".join(edited(r.choice(base)) for _ in range(5)) for _ in range(30)] + [None, "", " \n"]
+    seen, want = [], []
+    for t in texts:
+        out = []
+        for line in [] if t is None else t.split("\n"):
+            s = line.strip()
+            if not s or not any(s == x or (min(len(s), len(x)) >= near and abs(len(s) - len(x)) <= k and distance(s, x) <= k) for x in seen):
+                out.append(line)
+            seen += [s] * bool(s)
+        want.append(None if t is None else "\n".join(out))
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, keep int, row int, id int")
+    assert [g.text for g in linededup.dedup_lines(docs, k, near).orderBy("doc_id").collect()] == want

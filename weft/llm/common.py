@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-import uuid
+import re
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import cut, drop_cut, shared_dir
+
+__all__ = ["WORD", "ascii_lower", "cut", "drop_cut", "held_out", "lean", "mix", "pack", "partitions", "release", "shared_dir", "ship", "shingles", "table", "unpack"]
+
 #: White space of the word contracts: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most, in the sessions of the queries and the pipeline.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from the driver's checkout, if they have no other copy.
+    """Prepares the session that a query or the pipeline runs in; operators never call this.
 
-    Also bounds Arrow batches: whole texts are long, and JVM and worker both hold a batch of them.
+    Lets Python workers import this package from the driver's checkout, if they have no other copy, and bounds Arrow
+    batches for the whole session: whole texts are long, and JVM and worker both hold a batch of them. Smaller bounds
+    that the session has already are kept.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")) or 0)
+        if not 0 < held <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
     root = str(Path(__file__).resolve().parents[2])
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):
@@ -37,34 +48,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"weft-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def pack(df: DataFrame, **own: Column | str) -> DataFrame:
+    """(row, *own): all of df's columns but those that own reads by name as one struct, so that no name of theirs can
+    clash with a name of ours. The first of own is in the struct as well."""
+    taken = list(own.values())[1:]
+    return df.select(F.struct(*[_named(c) for c in df.columns if c not in taken]).alias("row"), *[(_named(c) if isinstance(c, str) else c).alias(k) for k, c in own.items()])
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Removes the files of a cut() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def unpack(columns: list[str], **own: Column | str) -> list[Column]:
+    """Columns that pack() put into row, in their order; those in own come from there, and further ones behind them."""
+    get = lambda c: F.col(c) if isinstance(c, str) else c
+    return [get(own[c]).alias(c) if c in own else F.col("row").getField(c).alias(c) for c in columns] + [get(v).alias(c) for c, v in own.items() if c not in columns]
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _named(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -76,6 +78,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+# --- memory of workers, which Spark uses again for later stages ---
+
+
+def release() -> None:
+    """Gives back what a Python worker holds beyond its modules: cached words, Arrow's pool, freed memory."""
+    _words.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An iterator function of a task that releases the worker's memory when the task ends, however it ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 # --- word shingles -----------------------------------------------------------------------------------------------
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -90,14 +118,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """64-bit hash by word, bounded: it starts anew at 200,000 words."""
+    """64-bit hash by word, bounded: it starts anew when its words reach 4 MB; very long words are not kept."""
+
+    size = 0
+
+    def clear(self) -> None:
+        self.size = 0
+        super().clear()
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 200_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word, 7)
+        got = xxhash.xxh3_64_intdigest(word, 7)
+        if len(word) <= 64:
+            self.size += len(word) + 16
+            if self.size > 4 << 20:
+                self.clear()
+            self[word] = got
         return got
 
 

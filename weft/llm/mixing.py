@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, pack, unpack
 
 
 def words_of(text: Column) -> Column:
@@ -52,17 +52,19 @@ def repeat_documents(docs: DataFrame, seed: str = "mix-1", **params) -> DataFram
 
     mix_sources with whole documents; only each source's place in the seeded order comes back to the documents, so
     their texts do not shuffle. Rows that repeat id, source and size are taken alike. A document without words is
-    taken by none.
+    taken by none. Other columns stay, whatever their names.
     """
     mixed = mix_sources(docs, seed=seed, boundary="documents", **params)
     place = F.struct(seeded_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").alias("id"), F.col("size").alias("size"))
     whole = F.expr("case when source_size > 0 then cast(floor(target + 0.5) as bigint) div source_size else 0 end")
     more = F.col("taken") > whole * F.col("size")
-    plan = mixed.groupBy(F.col("source").alias("_s")).agg(F.min(whole).cast("int").alias("_whole"), F.max(F.when(more, place)).alias("_last"))
-    rows = docs.withColumn("_size", words_of(F.col("text"))).where("_size > 0").join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    own = F.struct(seeded_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").alias("id"), F.col("_size").alias("size"))
-    copies = F.col("_whole") + F.when(own <= F.col("_last"), 1).otherwise(0)
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).drop("_copy")
+    plan = mixed.groupBy(F.col("source").alias("s")).agg(F.min(whole).cast("int").alias("whole"), F.max(F.when(more, place)).alias("last"))
+    rows = pack(docs, id="doc_id", source="source", text="text").withColumn("size", words_of(F.col("text"))).where("size > 0")
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    own = F.struct(seeded_key(F.col("id"), seed).alias("key"), F.col("id").alias("id"), F.col("size").alias("size"))
+    copies = F.col("whole") + F.when(own <= F.col("last"), 1).otherwise(0)
+    taken = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    return taken.select(*unpack(docs.columns, source="source", text="text"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix-1", boundary: str = "words") -> DataFrame:

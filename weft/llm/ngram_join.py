@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions, shingles
+from ..operators.components import components
+from .common import cut, drop_cut, lean, mix, pack, partitions, release, shingles, unpack
 
 #: Sets link if 100 * shared >= PERCENT * union.
 PERCENT = 75
@@ -81,10 +82,10 @@ def _chunk(number: int, ids: list[int], sets: list[np.ndarray], buckets: int) ->
     bucket, hot_bucket = (token % np.uint64(buckets)).astype(np.int64), (hot % np.uint64(buckets)).astype(np.int64)
     at = np.argsort(bucket, kind="stable")
     token, doc, bucket = token[at], doc[at], bucket[at]
-    ends = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        if ends[b] < ends[b + 1] or (hot_bucket == b).any():
-            yield b, number, 1, _pack(token[ends[b] : ends[b + 1]], doc[ends[b] : ends[b + 1]], hot[hot_bucket == b])
+    used = np.unique(np.concatenate([bucket, hot_bucket]))  # so a chunk sends a message for each of its tokens at most
+    lows, highs = np.searchsorted(bucket, used), np.searchsorted(bucket, used, "right")
+    for b, low, high in zip(used.tolist(), lows.tolist(), highs.tolist(), strict=True):
+        yield b, number, 1, _pack(token[low:high], doc[low:high], hot[hot_bucket == b])
 
 
 def _messages(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -114,7 +115,7 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield _messages(list(_chunk(next(numbers), ids, sets, buckets)), _NAMES)
 
-    return docs.mapInArrow(run, _SHAPE)
+    return docs.mapInArrow(lean(run), _SHAPE)
 
 
 def _answer(bucket: pa.Table) -> pa.Table:
@@ -139,17 +140,22 @@ def _answer(bucket: pa.Table) -> pa.Table:
             if ends[k] < ends[k + 1]:
                 s = slice(ends[k], ends[k + 1])
                 out.append((0, g[0], 1, _pack(token[s], doc[s], df[s])))
+    release()
     return pa.Table.from_batches([_messages(out, _NAMES)])
 
 
 # --- 2. documents again: those that enough shared tokens allow a link, with their prefixes --------------------------
 
-_DOC_SHAPE = "doc_id long, n long, leader long, alive boolean, h1 long, h2 long, tokens binary, first binary, second binary"
+#: The first order is that of rarity. The others are by independent hashes, so a frequent token may come early in them;
+#: in every order tokens of one set alone come first, which never match and so shorten the prefix.
+_SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
+
+_DOC_SHAPE = "doc_id long, n long, leader long, alive boolean, h1 long, h2 long, tokens binary, first binary, second binary, third binary"
 
 
 def _gather(chunk: pa.Table) -> pa.Table:
     """Rows of a chunk's documents. A leader is alive if it shares enough tokens for any link; only then it has
-    tokens: all shared ones ascending, its prefix of the first order in that order, and that of the second ascending."""
+    tokens: all shared ones ascending, its prefix of the first order in that order, those of the others ascending."""
     blobs = [(k, _unpack(b)) for k, b in zip(chunk.column("kind").to_pylist(), chunk.column("blob").to_pylist(), strict=True)]
     lead, sizes, h1, h2, hot_token, hot_doc, ids, member_of = next(b for k, b in blobs if k == 0)
     rest = [b for k, b in blobs if k == 1]
@@ -158,26 +164,28 @@ def _gather(chunk: pa.Table) -> pa.Table:
     at = np.lexsort((token, doc))
     token, doc, df = token[at], doc[at], df[at]
     ends = np.searchsorted(doc, np.arange(len(lead) + 1))
-    cols: list[list] = [[] for _ in range(9)]
+    cols: list[list] = [[] for _ in range(10)]
     packed = []
     for k, n in enumerate(sizes.tolist()):
         t, f = token[ends[k] : ends[k + 1]], df[ends[k] : ends[k + 1]]
         if not n or 100 * len(t) < PERCENT * n:
-            packed.append((False, None, None, None))
+            packed.append((False, None, None, None, None))
             continue
         length = prefix_length(n) - (n - len(t))  # tokens of one set come first in every order and match nothing
-        first, second = t[np.lexsort((t, f))[:length]], t[np.lexsort((mix(t), f))[:length]]
-        packed.append((True, t.tobytes(), first.tobytes(), np.sort(second).tobytes()))
+        first = t[np.lexsort((t, f))[:length]]
+        others = [np.sort(t[np.argpartition(mix(t ^ seed), length - 1)[:length]]) for seed in _SEEDS]
+        packed.append((True, t.tobytes(), first.tobytes(), *[x.tobytes() for x in others]))
     done = set()
     for i, m in zip(ids.tolist(), member_of.tolist(), strict=True):
         own = int(lead[m]) == i and m not in done
         if own:
             done.add(m)
-        values = (i, int(sizes[m]), int(lead[m]), own and packed[m][0], int(h1[m].view(np.int64)), int(h2[m].view(np.int64)), *(packed[m][1:] if own else (None,) * 3))
+        values = (i, int(sizes[m]), int(lead[m]), own and packed[m][0], int(h1[m].view(np.int64)), int(h2[m].view(np.int64)), *(packed[m][1:] if own else (None,) * 4))
         for c, v in zip(cols, values, strict=True):
             c.append(v)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
     names = [x.split()[0] for x in _DOC_SHAPE.split(", ")]
+    release()
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
@@ -211,7 +219,7 @@ def _prefix_rows(sets: DataFrame, column: str) -> DataFrame:
             flat = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (tokens, left)]
             yield pa.RecordBatch.from_arrays([flat[0], batch.column(0).take(of), batch.column(1).take(of), flat[1]], ["token", "id", "n", "s"])
 
-    return sets.select("id", "n", "s", column).mapInArrow(run, "token long, id long, n long, s long")
+    return sets.select("id", "n", "s", column).mapInArrow(lean(run), "token long, id long, n long, s long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -227,26 +235,40 @@ def _stars(rows: DataFrame) -> DataFrame:
     return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Both orders must agree on a candidate before its tokens are compared."""
-    a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("second").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("second").alias("sb"))
+def _pairs_where(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], test) -> DataFrame:
+    """The pairs (a, b) for which test(values of a, values of b) holds; only the named columns of sets travel."""
+    ends = [sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]) for end in "ab"]
+    k = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for na, ta, sa, nb, tb, sb in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True):
-                read = lambda x: np.frombuffer(x.as_py(), np.uint64)
-                if not _shared(read(sa), read(sb)):
-                    keep.append(False)
-                    continue
-                both = _shared(read(ta), read(tb))
-                keep.append(100 * both >= PERCENT * (na + nb - both))
-            mask = pa.array(keep, pa.bool_())
+            rows = zip(*[batch.column(i) for i in range(2, 2 + 2 * k)], strict=True)
+            values = ([x.as_py() for x in row] for row in rows)
+            mask = pa.array([test(v[:k], v[k:]) for v in values], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "ta", "sa", "nb", "tb", "sb")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
+    return joined.mapInArrow(lean(run), "a long, b long")
+
+
+def _tokens(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint64)
+
+
+def _agree(a: list, b: list) -> bool:
+    """Whether two sets share a token of their prefixes under each of the other orders."""
+    return all(_shared(_tokens(x), _tokens(y)) for x, y in zip(a, b, strict=True))
+
+
+def _linked(a: list, b: list) -> bool:
+    both = _shared(_tokens(a[1]), _tokens(b[1]))
+    return 100 * both >= PERCENT * (a[0] + b[0] - both)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. All orders must agree on a candidate before whole sets travel and are compared."""
+    agreed = _pairs_where(pairs, sets, ("second", "third"), _agree)
+    return _pairs_where(agreed, sets, ("n", "tokens"), _linked)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -259,32 +281,13 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that is reachable over undirected edges (a, b) from each node (column id).
-
-    Smallest labels spread over edges and then along labels' own labels, until nothing changes; the rounds grow with
-    the logarithm of the longest chain. Both joins are on ids with partial aggregation behind them.
-    """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        low = labels.join(near, "id").select("id", "label", F.least("label", "l").alias("l"))
-        up = labels.select(F.col("id").alias("l"), F.col("label").alias("top"))
-        moved = cut(low.join(up, "l").select("id", "label", F.least("l", "top").alias("new")))
-        changed = moved.where("new < label").limit(1).count()
-        labels = moved.select("id", F.col("new").alias("label"))
-        if not changed:
-            break
-    return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-
-
 def _cross_pairs(rows: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of prefix rows (token, id, n, s, label): same token, labels that differ, and _fits.
 
     Each token's sets outside of its largest component meet the token's sets; those inside never meet one another. A
-    set outside goes first if no band of sizes holds a set of another component within reach, so a set that is too far
-    from a group of near-copies to link costs nothing. What is known of a token's bands is bounded by the log of sizes.
+    set outside meets only those bands of sizes that hold a set of another component within reach, so one that is too
+    far from a group of near-copies to link costs nothing. The join is on token and band, in exchanges that adaptive
+    execution can split. What is known of a token's bands is bounded by the log of sizes.
     """
     known = rows.withColumns({"k": _band(F.col("n"), 8), "reach": _reach(F.col("n"), F.col("s"))})
     parts = known.groupBy("token", "k", "label").agg(F.count("*").alias("c"), F.max("reach").alias("top"))
@@ -298,9 +301,11 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
         other = (b["lo"] != F.col("label")) | (b["hi"] != F.col("label"))
         return other & (b["top"] >= F.col("n")) & b["k"].between(low, high)
 
-    outside = known.join(tokens, F.col("token") == F.col("t")).where((F.col("label") != F.col("main")) & F.exists("bands", within_reach))
-    a, b = (x.select("token", F.col("id").alias(f"i{c}"), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"), F.col("label").alias(f"l{c}")) for x, c in ((outside, "a"), (rows, "b")))
-    met = a.join(b, "token").where((F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb")))
+    outside = known.join(tokens, F.col("token") == F.col("t")).where(F.col("label") != F.col("main"))
+    outside = outside.withColumn("at", F.explode(F.transform(F.filter("bands", within_reach), lambda b: b["k"])))
+    a = outside.select("token", F.col("at").alias("k"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la"))
+    b = known.select("token", "k", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("label").alias("lb"))
+    met = a.join(b, ["token", "k"]).where((F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb")))
     return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
 
 
@@ -312,11 +317,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with a null id come back with a null component_id and take no part. Other columns of docs are ignored.
 
     Every token of every set meets its equals once, as packed arrays by hash bucket, and learns how many sets have it.
-    Documents with equal sets are one set; a token that many sets of a chunk have travels once a chunk. Under two
-    orders, both rare tokens first but ties ordered differently, linking sets share a token of their prefixes; a
-    candidate must do so under both. Stars come first: in each token's group every set meets only the
-    purest sets of about its size. The links found merge most near-copies into components. After that, only sets
-    outside of a token's largest component that have another component within reach meet the token's other sets.
+    Documents with equal sets are one set; a token that many sets of a chunk have travels once a chunk. Under any
+    order linking sets share a token of their prefixes. Candidates come from the order of rarity and must also share
+    one under two orders by independent hashes; only then their whole sets are compared. Stars come first: in each
+    token's group every set meets only the purest sets of about its size. The links found merge most near-copies into
+    components. After that, only sets outside of a token's largest component that have another component within reach
+    meet the token's other sets.
+
+    Shingles are known by 64-bit hashes, sets that are equal by two of them and their size: a text links wrongly only
+    if hashes of different shingles collide.
     """
     spark = docs.sparkSession
     buckets = max(partitions(spark), docs.rdd.getNumPartitions())
@@ -328,13 +337,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     mapped = cut(alive.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("m"), "rep"))
     reps = mapped.where("m = rep").select("rep").distinct()
-    sets = cut(alive.join(reps, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "tokens", "first", "second"))
+    sets = cut(alive.join(reps, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "tokens", "first", "second", "third"))
     prefix = _prefix_rows(sets, "first")
     edges = cut(_verify(_stars(prefix), sets))
     labels = cut(components(sets.select("id"), edges))
-    more = cut(_verify(_cross_pairs(cut(prefix.join(labels, "id"))), sets))
-    if more.limit(1).count():
-        labels = components(sets.select("id"), edges.unionByName(more))
+    labelled = cut(prefix.join(labels, "id"))
+    more = cut(_verify(_cross_pairs(labelled), sets))
+    drop_cut(labelled)
+    if more.limit(1).count():  # what links between components makes further ones of their labels
+        ends = more.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        tops = components(labels.select(F.col("label").alias("id")).distinct(), ends)
+        labels = labels.join(tops.toDF("label", "top"), "label").select("id", F.col("top").alias("label"))
     final = mapped.join(labels, F.col("rep") == F.col("id")).select("m", "label").groupBy("m").agg(F.min("label").alias("label"))
     out = rows.join(final, F.col("leader") == F.col("m"), "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "leader").alias("component_id"))
     lost = own.where("id is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
@@ -344,12 +357,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose component has a smaller id, and of rows that repeat an id the first by text.
 
-    Documents without words and rows with a null id stay.
+    Documents without words and rows with a null id stay. Other columns stay, whatever their names. Rows that go are
+    known by ids alone; only rows that repeat an id are sorted, by id.
     """
     found = cut(jaccard_components(docs.select("doc_id", "text")) if found is None else found).where("doc_id is not null")
-    away = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    stay = docs.join(away, F.col("doc_id") == F.col("_gone"), "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = stay.join(repeated, F.col("doc_id") == F.col("_twice"), "left_semi").withColumn("_n", first).where("_n = 1").drop("_n")
-    return stay.join(repeated, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(once)
+    away = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
+    stay = pack(docs, id="doc_id", text="text").join(away, F.col("id") == F.col("gone"), "left_anti")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+    once = stay.join(repeated, F.col("id") == F.col("twice"), "left_semi").withColumn("n", first).where("n = 1").drop("n")
+    return stay.join(repeated, F.col("id") == F.col("twice"), "left_anti").unionByName(once).select(*unpack(docs.columns, text="text"))

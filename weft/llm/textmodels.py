@@ -5,29 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, held_out, mix
+from .common import cut, drop_cut, held_out, lean, mix, pack, unpack
 
-#: Rows that a model learns from, for each class (or grade), at most: those whose ids have the smallest hashes.
-MAX_TRAIN_PER_CLASS = 4000
+#: Rows that a model learns from at most: so many of each class (or grade), those whose ids have the smallest hashes,
+#: and so many in all. There may be so many distinct grades.
+MAX_TRAIN_PER_CLASS, MAX_TRAIN, MAX_GRADES = 4000, 16_000, 1000
 
 
 def sample_labels(labels: DataFrame, grade: str, n: int = MAX_TRAIN_PER_CLASS) -> DataFrame:
     """(doc_id, y, w): up to n labelled rows of each grade, never held-out ones; w restores the grades' shares.
 
-    A document with several labels keeps its highest one. Null labels and ids do not count. The result has at most
-    n rows a grade, so it may be broadcast; each grade is a top-n by hash, not a sort of the table.
+    Grades are any numbers. A document with several labels keeps its highest one; null, NaN and infinite labels and
+    null ids do not count. More than MAX_GRADES distinct grades are an error: they should be binned first. With many
+    grades n falls to MAX_TRAIN / grades, one at least, so the result has at most MAX_TRAIN rows and may be broadcast.
+    The rank in a grade is limited before its rows meet (a group limit), so a frequent grade never sorts in one task.
     """
-    rows = labels.where(F.col(grade).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(grade).cast("int").alias("y"))
-    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(64).collect()}
-    out = rows.limit(0).withColumn("w", F.lit(1.0))
-    for y, total in counts.items():
-        part = rows.where(F.col("y") == y).orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(n)
-        out = out.unionByName(part.withColumn("w", F.lit(max(1.0, total / n))))
-    return out
+    y = F.col(grade).cast("double")
+    rows = labels.where(y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(y).alias("y"))
+    counts = cut(rows.groupBy("y").agg(F.count("*").alias("total")))
+    grades = counts.count()
+    if grades > MAX_GRADES:
+        raise ValueError(f"{grades} distinct grades, more than {MAX_GRADES}: bin them first")
+    n = max(1, min(n, MAX_TRAIN // max(1, grades)))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id"))
+    some = rows.withColumn("r", rank).where(F.col("r") <= n).drop("r")
+    return some.join(F.broadcast(counts), "y").select("doc_id", "y", F.greatest(F.lit(1.0), F.col("total") / n).alias("w"))
 
 
 # --- character n-grams ---------------------------------------------------------------------------------------------
@@ -76,27 +83,33 @@ def fit_logistic(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, weig
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, grade: str, n: int) -> DataFrame:
-    """(y, w, text) of the sampled labels' documents. The sample is bounded and broadcast; documents do not shuffle."""
+    """(doc_id, y, w, text) of the sampled labels' documents, one text an id (of several that with the smallest hash).
+
+    The sample is bounded and broadcast; documents do not shuffle, and repeated ids meet pre-aggregated.
+    """
     sample = sample_labels(labels, grade, n).withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "w", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "y", "w").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "y", "w", "text")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = MAX_TRAIN_PER_CLASS, keep: int = 4096, steps: int = 300) -> dict:
     """A linear classifier on presence of character n-grams, each scaled by its naive Bayes log-count ratio.
 
     Ratios r = log(p / q) come from smoothed document counts of each class over the whole sample, by aggregation on
-    the executors; the `keep` features of the largest |r| * sqrt(support) stay. A logistic regression on the scaled
-    features, fitted on the driver on at most 2 * max_per_class rows of feature numbers, gives the weights. Without
-    labels of both classes the score is the share of label 1, 0 without labels.
+    the executors; the model's size is `keep` features, those of the largest |r| * sqrt(support). A logistic regression
+    on the scaled features, fitted on the driver on at most 2 * max_per_class rows of feature numbers, gives the
+    weights. Labels above 0 count as 1. Without labels of both classes the score is the share of label 1, 0 without
+    labels.
     """
-    rows = _labelled(docs, labels, label, max_per_class)
+    labels = labels.select("doc_id", (F.col(label) > 0).cast("int").alias("y"))
+    rows = _labelled(docs, labels, "y", max_per_class)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             feats = pa.array([present(x.as_py() or "").astype(np.int32) for x in batch.column(3)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), feats], ["doc_id", "y", "w", "f"])
 
-    feats = cut(rows.mapInArrow(featurize, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, w double, f array<int>"))
+    feats = cut(rows.mapInArrow(lean(featurize), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y double, w double, f array<int>"))
     totals = {r.y: (r.n, r.w) for r in feats.groupBy("y").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()}
     if not {0, 1} <= set(totals):
         ones = sum(w for y, (_, w) in totals.items() if y > 0)
@@ -105,7 +118,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_p
     n0, n1 = totals[0][0], totals[1][0]
     counts = feats.select("y", F.explode("f").alias("i")).groupBy("i").agg(F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0"))
     p, q = (F.col("c1") + 1) / F.lit(n1 + 2.0), (F.col("c0") + 1) / F.lit(n0 + 2.0)
-    ratio = counts.where("c0 + c1 >= 3").select("i", F.log(p / q).alias("r"), (F.col("c0") + F.col("c1")).alias("n"))
+    ratio = counts.select("i", F.log(p / q).alias("r"), (F.col("c0") + F.col("c1")).alias("n"))
     top = ratio.orderBy(F.desc(F.abs("r") * F.sqrt("n")), "i").limit(keep).collect()
     ids = np.array([t.i for t in top], np.int64)
     order = np.argsort(ids)
@@ -116,11 +129,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_p
             own = [np.nonzero(np.isin(ids, np.asarray(x.values)))[0].astype(np.int32) if x.values is not None else [] for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "y", "w", "f"])
 
-    got = feats.mapInArrow(select, feats.schema).orderBy("doc_id", "y").select("y", "w", "f").toArrow()
+    got = feats.mapInArrow(lean(select), feats.schema).orderBy("doc_id", "y").select("y", "w", "f").toArrow()
     drop_cut(feats)
     y, wt = got.column("y").to_numpy().astype(float), got.column("w").to_numpy()
     lists = [np.asarray(x.values, np.int64) for x in got.column("f")]
-    w, b = fit_logistic(lists, r, np.minimum(y, 1), wt, 1e-4, steps)
+    w, b = fit_logistic(lists, r, y, wt, 1e-4, steps)
     return {"ids": ids, "w": w * r, "b": float(b)}
 
 
@@ -128,44 +141,48 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     """Adds score (0 to 1) to every row, from its whole text; null and empty texts have the bias' score."""
     ids, w, b = model["ids"], model["w"], model["b"]
 
-    @F.pandas_udf("double")
-    def score(texts):
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         dense = np.zeros(1 << BITS)
         dense[ids] = w
-        out = np.empty(len(texts))
-        for k, text in enumerate(texts):
-            total = b
-            if isinstance(text, str) and text:
-                h = np.concatenate([ngram_hashes(text, n, BITS) for n in ORDERS])
-                h = np.unique(h[dense[h] != 0])
-                total += dense[h].sum()
-            out[k] = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
-        return texts.__class__(out)
+        for texts in parts:
+            out = np.empty(len(texts))
+            for k, text in enumerate(texts):
+                total = b
+                if isinstance(text, str) and text:
+                    h = np.concatenate([ngram_hashes(text, n, BITS) for n in ORDERS])
+                    h = np.unique(h[dense[h] != 0])
+                    total += dense[h].sum()
+                out[k] = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+            yield pd.Series(out)
 
-    return docs.withColumn("score", score(F.col("text")))
+    return docs.withColumn("score", F.pandas_udf(lean(score), "double")(F.col("text")))
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, text_docs: DataFrame | None = None, **params) -> DataFrame:
-    """(doc_id, text's row) held_out, score, predicted of every document row; learns from text_docs (docs if None).
+    """docs plus held_out, score, predicted of every row; learns from text_docs (docs if None).
 
     Repeated rows each get their score, null ids are held out, null text scores like an empty one; an empty labels
-    table gives score 0 (to 1e-6). Columns of docs named held_out, score or predicted are replaced.
+    table gives score 0 (to 1e-6). Columns of docs named held_out, score or predicted are replaced, others stay.
     """
     model = fit_toxicity(docs if text_docs is None else text_docs, labels, **params)
-    scored = score_toxicity(docs, model)
-    return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= 0.5).cast("int")})
+    own = docs.drop("held_out", "score", "predicted")
+    scored = score_toxicity(pack(own, id="doc_id", text="text"), model)
+    return scored.select(*unpack(own.columns, text="text", held_out=held_out(F.col("id")), score="score", predicted=(F.col("score") >= 0.5).cast("int")))
 
 
 # --- ordinal quality ------------------------------------------------------------------------------------------------
 
 Q_BITS = 15
+#: Hashed words and shapes, and behind them the shares of repeated neighbours and of repeated words.
+Q_SIZE = (1 << Q_BITS) + 2
 
 
 def quality_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a whole text and their values, of length 1.
+    """Hashed features of a whole text and their values.
 
-    Words (A-Z lower-cased), adjacent word pairs, and character trigrams of the text's shape (letters a or A, digits
-    0, white space one blank, the rest as is) are counted; log-damped counts are scaled to length 1.
+    Words (lower-cased) and character trigrams of the text's shape (letters a or A, digits 0, white space one blank,
+    the rest as is) are counted; log-damped word counts are scaled to length 1, shapes to the root of their shares. Two
+    columns of their own have the share of words that repeat the one before and of words that stand elsewhere too.
     """
     import xxhash
 
@@ -193,9 +210,8 @@ def quality_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     total = shapes.sum()
     if total:
         out += 3 * np.sqrt(shapes / total)
-    if words:
-        out[0] += 3 * same / len(words)
-        out[1] += 1 - len(keys) / len(words)
+    extra = [3 * same / len(words), 1 - len(keys) / len(words)] if words else [0.0, 0.0]
+    out = np.concatenate([out, extra])
     at = np.nonzero(out)[0]
     return at, out[at]
 
@@ -203,9 +219,8 @@ def quality_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit_ordinal(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_per_grade: int = MAX_TRAIN_PER_CLASS, steps: int = 250, l2: float = 3e-5) -> dict:
     """Cumulative-link (proportional odds) regression: P(grade <= g) = sigmoid(threshold_g - w.x), one w for all grades.
 
-    Learns from at most max_per_grade rows of each grade (weighted back to their shares). Thresholds stay ordered
-    because only the first and the logs of the gaps are free. Feature vectors are made on the executors; the driver
-    gets the sample's sparse vectors.
+    Learns from at most max_per_grade rows of each grade (sample_labels), weighted back to their shares. Feature vectors
+    are made on the executors; the driver gets the sample's sparse vectors.
     """
     rows = _labelled(docs, labels, grade, max_per_grade)
 
@@ -216,67 +231,82 @@ def fit_ordinal(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "y", "w", "i", "v"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(featurize, f"doc_id {kind}, y int, w double, i array<int>, v array<float>").orderBy("doc_id", "y").toArrow().combine_chunks()
-    grades = sorted(set(got.column("y").to_pylist()))
+    got = rows.mapInArrow(lean(featurize), f"doc_id {kind}, y double, w double, i array<int>, v array<float>").orderBy("doc_id", "y").toArrow().combine_chunks()
+    grades, y = np.unique(got.column("y").to_numpy(), return_inverse=True)
     if len(grades) < 2:
-        return {"grades": np.array(grades or [0], float), "w": np.zeros(1 << Q_BITS), "theta": np.empty(0)}
-    y = np.searchsorted(grades, got.column("y").to_numpy())
-    weight = got.column("w").to_numpy()
+        return {"grades": grades, "w": np.zeros(Q_SIZE), "theta": np.empty(0)}
+    flat = [np.asarray(c.chunk(0).flatten()) for c in (got.column("i"), got.column("v"))]
+    sizes = np.diff(np.asarray(got.column("i").chunk(0).offsets))
+    w, theta = solve_ordinal(sizes, flat[0].astype(np.int64), flat[1].astype(float), y, got.column("w").to_numpy(), Q_SIZE, steps, l2)
+    return {"grades": grades, "w": w, "theta": theta}
+
+
+def solve_ordinal(sizes: np.ndarray, flat: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, steps: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds of sparse rows (sizes, columns, values) and their grades' numbers 0, 1, .. .
+
+    Accelerated gradient steps on the weighted mean negative log-likelihood plus l2 / 2 * |w|^2. Thresholds stay ordered
+    because only the first and the logs of the gaps are free. Cost a step: the values, the rows and the grades.
+    """
     weight = weight / weight.sum()
-    lists = got.column("i")
-    sizes = np.array([len(x) for x in lists])
-    flat = np.concatenate([np.asarray(x.values) for x in lists]).astype(np.int64)
-    x = np.concatenate([np.asarray(v.values) for v in got.column("v")]).astype(float)
-    of, n, k = np.repeat(np.arange(len(y)), sizes), len(y), len(grades) - 1
+    of, n, k = np.repeat(np.arange(len(y)), sizes), len(y), int(y.max())
     share = np.cumsum(np.bincount(y, weight, k + 1))[:-1]
     theta = np.log(share / (1 - share))
     free = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
-    w = np.zeros(1 << Q_BITS)
-    state = [np.zeros(len(w) + k) for _ in range(2)]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    w = np.zeros(width)
+    state = [np.zeros(width + k) for _ in range(2)]
     for t in range(1, steps + 1):
         theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
         z = np.bincount(of, w[flat] * x, n)
-        edges = np.concatenate([np.full((n, 1), -np.inf), theta[None, :] - z[:, None], np.full((n, 1), np.inf)], 1)
-        cdf = np.concatenate([np.zeros((n, 1)), sigmoid(edges[:, 1:-1]), np.ones((n, 1))], 1)
-        hi, lo = cdf[np.arange(n), y + 1], cdf[np.arange(n), y]
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+        hi, lo = _sigmoid(edges[y + 1] - z), _sigmoid(edges[y] - z)
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        gz = weight * (dhi - dlo) / p
-        gtheta = np.array([-(weight * dhi / p)[y == j].sum() + (weight * dlo / p)[y == j + 1].sum() for j in range(k)])
-        gfree = np.concatenate([[gtheta.sum()], [np.exp(free[j]) * gtheta[j:].sum() for j in range(1, k)]])
-        g = np.concatenate([np.bincount(flat, gz[of] * x, len(w)) + l2 * w, gfree])
+        gtheta = np.bincount(y, -weight * dhi / p, k + 1)[:k] + np.bincount(y, weight * dlo / p, k + 1)[1:]
+        after = np.cumsum(gtheta[::-1])[::-1]  # a gap moves every threshold behind it
+        gfree = np.concatenate([after[:1], np.exp(free[1:]) * after[1:]])
+        g = np.concatenate([np.bincount(flat, (weight * (dhi - dlo) / p)[of] * x, width) + l2 * w, gfree])
         state = [0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g**2]
         step = 0.05 * min(1.0, 2 * (1 - t / (steps + 1))) * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.999**t)) + 1e-9)
-        w, free = w - step[: len(w)], free - step[len(w) :]
-    theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-    return {"grades": np.array(grades, float), "w": w, "theta": theta}
+        w, free = w - step[:width], free - step[width:]
+    return w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
-def score_quality(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds expected_grade and tail_probability (that the grade is the highest one) to every row."""
-    grades, w, theta = model["grades"], model["w"].astype(np.float32), model["theta"]
-
-    @F.pandas_udf("struct<e double, t double>")
-    def score(texts):
-        import pandas as pd
-
-        e, tail = np.empty(len(texts)), np.empty(len(texts))
-        for k, text in enumerate(texts):
-            at, x = quality_vector(text if isinstance(text, str) else "")
-            cdf = np.concatenate([[0.0], 1 / (1 + np.exp(-np.clip(theta - w[at].astype(float) @ x, -500, 500))), [1.0]])
-            p = np.diff(cdf)
-            e[k], tail[k] = p @ grades, p[-1]
-        return pd.DataFrame({"e": e, "t": tail})
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-    return docs.withColumn("_s", score(F.col("text"))).withColumns({"expected_grade": F.col("_s.e"), "tail_probability": F.col("_s.t")}).drop("_s")
 
+def score_quality(docs: DataFrame, model: dict, tail_from: float | None = None) -> DataFrame:
+    """Adds expected_grade and tail_probability to every row: that the grade is tail_from (None: the highest) or more.
 
-def grade_quality(docs: DataFrame, labels: DataFrame, select_at: float = 0.5, **params) -> DataFrame:
-    """held_out, expected_grade, tail_probability and selected (tail probability of select_at or more) of every row.
-
-    Repeated rows each get their grade; null text counts as empty. With labels of one grade only that grade is
-    expected of all, with none grade 0; both with tail probability 1. Columns of docs of these names are replaced.
+    A model without grades gives null for both; one with a single grade expects that of all.
+    """
+    grades, w, theta = model["grades"], model["w"].astype(np.float32), model["theta"]
+    if not len(grades):
+        return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "tail_probability": F.lit(None).cast("double")})
+    below = int(np.searchsorted(grades, grades[-1] if tail_from is None else tail_from))  # grades under the tail
+
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            e, tail = np.empty(len(texts)), np.empty(len(texts))
+            for k, text in enumerate(texts):
+                at, x = quality_vector(text if isinstance(text, str) else "")
+                cdf = np.concatenate([[0.0], _sigmoid(theta - w[at].astype(float) @ x), [1.0]])
+                e[k], tail[k] = np.diff(cdf) @ grades, 1 - cdf[below]
+            yield pd.DataFrame({"e": e, "t": tail})
+
+    udf = F.pandas_udf(lean(score), "struct<e double, t double>")
+    return docs.withColumn("_s", udf(F.col("text"))).withColumns({"expected_grade": F.col("_s.e"), "tail_probability": F.col("_s.t")}).drop("_s")
+
+
+def grade_quality(docs: DataFrame, labels: DataFrame, select_at: float = 0.5, tail_from: float | None = None, **params) -> DataFrame:
+    """docs plus held_out, expected_grade, tail_probability and selected (tail probability of select_at or more).
+
+    The tail is the grades from tail_from on, the highest one alone if None. Repeated rows each get their grade; null
+    text counts as empty, null ids are held out. With labels of one grade only that grade is expected of all, with
+    tail probability 1 if it is in the tail, else 0. Without labels both are null and nothing is selected. Columns of
+    docs of these names are replaced, others stay.
     """
-    scored = score_quality(docs, fit_ordinal(docs, labels, **params))
-    return scored.withColumns({"held_out": held_out(F.col("doc_id")), "selected": F.col("tail_probability") >= select_at})
+    own = docs.drop("held_out", "expected_grade", "tail_probability", "selected")
+    scored = score_quality(pack(own, id="doc_id", text="text"), fit_ordinal(docs, labels, **params), tail_from)
+    selected = F.coalesce(F.col("tail_probability") >= select_at, F.lit(False))
+    return scored.select(*unpack(own.columns, text="text", held_out=held_out(F.col("id")), expected_grade="expected_grade", tail_probability="tail_probability", selected=selected))
