@@ -66,11 +66,8 @@ def _halves(line, min_near: int):
     m = F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
     sizes = F.when(F.pow(F.lit(2), F.floor(F.log2(n.cast("double")))).cast("int") == n, F.array(m, (m / 2).cast("int"))).otherwise(F.array(m))
 
-    def keys(s):
-        first, last = F.xxhash64(F.lit(1), s, F.substring(line, F.lit(1), s)), F.xxhash64(F.lit(2), s, F.substring(line, n - s + 1, s))
-        return F.array(*[F.xxhash64(h, n + more) for more in (0, 1) for h in (first, last)])
-
-    blocks = F.flatten(F.transform(sizes, keys))
+    ends = F.flatten(F.transform(sizes, lambda s: F.array(F.xxhash64(F.lit(1), s, F.substring(line, F.lit(1), s)), F.xxhash64(F.lit(2), s, F.substring(line, n - s + 1, s)))))
+    blocks = F.flatten(F.transform(ends, lambda h: F.array(F.xxhash64(h, n), F.xxhash64(h, n + 1))))
     return F.when(n >= max(2, min_near), blocks).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -88,7 +85,7 @@ def able_lines(firsts: DataFrame) -> DataFrame:
     """
     blocks = firsts.select("h1", "h2", F.posexplode("blocks").alias("n", "block"))
     shared = blocks.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select(F.col("block").alias("b"))
-    able = blocks.join(shared, F.col("block") == F.col("b")).groupBy("h1", "h2").agg(F.bit_or(F.when(F.col("n") % 2 == 0, 1).otherwise(2)).alias("sides"))
+    able = blocks.join(shared, F.col("block") == F.col("b")).groupBy("h1", "h2").agg(F.bit_or(F.when(F.floor(F.col("n") / 2) % 2 == 0, 1).otherwise(2)).alias("sides"))
     return cut(able.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "first", "sides"))
 
 
@@ -212,7 +209,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_near: int = MIN_NEAR) -
     docs = docs.drop("n_lines", "n_kept")
     rows = lines_of(docs.select("doc_id", "text"))
     blocks = _halves(F.col("line"), min_near) if max_edits else F.array().cast("array<bigint>")
-    firsts = cut(rows.select("h1", "h2", "place", blocks.alias("blocks")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("blocks").alias("blocks")))
+    firsts = cut(rows.select("h1", "h2", "place", blocks.alias("blocks")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("blocks").alias("blocks")))
     stay = firsts.select("h1", "h2", "first")
     if max_edits:
         stay = stay.join(near_lines(rows, firsts, max_edits), ["h1", "h2"], "left_anti")
