@@ -216,6 +216,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_near: int = MIN_NEAR) -
     stay = stay.select("first.*").groupBy("doc_id", "k").agg(F.collect_list("at").alias("keep")).select(F.col("doc_id").alias("sid"), F.col("k").alias("sk"), "keep")
     own = pack(docs, id="doc_id", text="text").withColumn("key", F.xxhash64("text"))
     joined = own.join(stay, F.col("id").eqNullSafe(F.col("sid")) & (F.col("key") == F.col("sk")), "left")
-    rewrite = F.pandas_udf(lean(_rewrite), "struct<text string, n_lines int, n_kept int>")
+    # Not deterministic for the optimizer: a filter on n_kept must not evaluate it a second time.
+    rewrite = F.pandas_udf(lean(_rewrite), "struct<text string, n_lines int, n_kept int>").asNondeterministic()
     done = joined.withColumn("r", rewrite("text", "keep"))
     return done.select(*unpack(docs.columns, text="r.text", n_lines="r.n_lines", n_kept="r.n_kept"))

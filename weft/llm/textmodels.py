@@ -7,23 +7,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, held_out, lean, mix, pack, unpack
 
-#: Rows that a model learns from at most: so many of each class (or grade), those whose ids have the smallest hashes,
-#: and so many in all. There may be so many distinct grades.
+#: Rows that a model learns from: about so many of each class (or grade), those whose ids have the smallest hashes, and
+#: so many in all. There may be so many distinct grades.
 MAX_TRAIN_PER_CLASS, MAX_TRAIN, MAX_GRADES = 4000, 16_000, 1000
 
 
 def sample_labels(labels: DataFrame, grade: str, n: int = MAX_TRAIN_PER_CLASS) -> DataFrame:
-    """(doc_id, y, w): up to n labelled rows of each grade, never held-out ones; w restores the grades' shares.
+    """(doc_id, y, w): about n labelled rows of each grade, never held-out ones; w restores the grades' shares.
 
     Grades are any numbers. A document with several labels keeps its highest one; null, NaN and infinite labels and
     null ids do not count. More than MAX_GRADES distinct grades are an error: they should be binned first. With many
-    grades n falls to MAX_TRAIN / grades, one at least, so the result has at most MAX_TRAIN rows and may be broadcast.
-    The rank in a grade is limited before its rows meet (a group limit), so a frequent grade never sorts in one task.
+    grades n falls to MAX_TRAIN / grades, so the result has about MAX_TRAIN rows at most and may be broadcast.
+    A grade of more than n rows gives those whose id's hash is below n / rows of the hash's range: nothing is sorted,
+    and no grade ever meets in one task.
     """
     y = F.col(grade).cast("double")
     rows = labels.where(y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(y).alias("y"))
@@ -31,10 +32,9 @@ def sample_labels(labels: DataFrame, grade: str, n: int = MAX_TRAIN_PER_CLASS) -
     grades = counts.count()
     if grades > MAX_GRADES:
         raise ValueError(f"{grades} distinct grades, more than {MAX_GRADES}: bin them first")
-    n = max(1, min(n, MAX_TRAIN // max(1, grades)))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id"))
-    some = rows.withColumn("r", rank).where(F.col("r") <= n).drop("r")
-    return some.join(F.broadcast(counts), "y").select("doc_id", "y", F.greatest(F.lit(1.0), F.col("total") / n).alias("w"))
+    weight = F.greatest(F.lit(1.0), F.col("total") / max(1, min(n, MAX_TRAIN // max(1, grades))))
+    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(11)), 11) / float(1 << 53)
+    return rows.join(F.broadcast(counts), "y").withColumn("w", weight).where(place * F.col("w") < 1).select("doc_id", "y", "w")
 
 
 # --- character n-grams ---------------------------------------------------------------------------------------------
@@ -97,7 +97,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_p
 
     Ratios r = log(p / q) come from smoothed document counts of each class over the whole sample, by aggregation on
     the executors; the model's size is `keep` features, those of the largest |r| * sqrt(support). A logistic regression
-    on the scaled features, fitted on the driver on at most 2 * max_per_class rows of feature numbers, gives the
+    on the scaled features, fitted on the driver on about 2 * max_per_class rows of feature numbers, gives the
     weights. Labels above 0 count as 1. Without labels of both classes the score is the share of label 1, 0 without
     labels.
     """
@@ -219,7 +219,7 @@ def quality_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit_ordinal(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_per_grade: int = MAX_TRAIN_PER_CLASS, steps: int = 250, l2: float = 3e-5) -> dict:
     """Cumulative-link (proportional odds) regression: P(grade <= g) = sigmoid(threshold_g - w.x), one w for all grades.
 
-    Learns from at most max_per_grade rows of each grade (sample_labels), weighted back to their shares. Feature vectors
+    Learns from about max_per_grade rows of each grade (sample_labels), weighted back to their shares. Feature vectors
     are made on the executors; the driver gets the sample's sparse vectors.
     """
     rows = _labelled(docs, labels, grade, max_per_grade)
