@@ -1,13 +1,43 @@
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from weft.functions.text import clean_text, normalise_label, parse_concepts, parse_triplet_lines, sentences
 from weft.operators import chunking, extract, graph, query, tidy, traverse, view, weights
+from weft.operators.components import components
 from weft.plans import repl, testgraphs
 from weft.plans.pipeline import triplets_of, weighted_graph
 from weft.sources import files
 
 
+#: Labels for the cleaning passes: abbreviations, plurals, containment, junk and reciprocal pairs.
+DIRTY = [
+    ("ML", "uses", "neural networks", 0),
+    ("machine learning", "is part of", "(Graph).", 0),
+    ("neural network", "enables", "machine learning", 0),
+    ("learning", "co-occurs with", "machine learning", 1),
+    ("alpha node", "co-occurs with", "beta node", 1),
+    ("alpha node", "co-occurs with", "beta node", 2),
+    ("beta node", "co-occurs with", "alpha node", 2),
+    ("alpha node", "uses", "gamma node", 2),
+    ("gamma node", "uses", "alpha node", 3),
+    ("data", "uses", "3.14", 3),
+    ("x", "uses", "2020-01", 3),
+    ("a b c", "uses", "one two three four five six", 3),
+    ("neural_networks", "uses", "knowledge graphs", 4),
+    ("kg", "is a type of", "knowledge graph", 4),
+    ("ai", "co-occurs with", "chain", 5),
+    ("deep  learning!", "is a subset of", "ML", 5),
+]
+
+
+def dirty(spark):
+    rows = [(s, p, o, c, "dirty", k) for k, (s, p, o, c) in enumerate(DIRTY)]
+    return spark.createDataFrame(rows, "subject string, predicate string, object string, chunk_id int, doc_name string, row_ord long")
+
+
 def one(spark, text, f):
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first().x
 
@@ -43,7 +73,7 @@ def test_chunks_have_tails(spark):
 def test_labels_and_tidy(spark):
     assert one(spark, "(graph).", normalise_label) == "graph"
     assert one(spark, "neural_networks", normalise_label) == "neuralnetworks"
-    g = tidy.tidy(graph.build_graph(testgraphs.dirty(spark)))
+    g = tidy.tidy(graph.build_graph(dirty(spark)))
     nodes = {r.node for r in g.nodes.collect()}
     assert "machine learning" in nodes and not nodes & {"ml", "learning", "data", "x", "3.14", "a b c"}
 
@@ -130,3 +160,78 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_components_of_a_path_take_few_rounds(spark, caplog):
+    order = [*range(5, 4097), 1]
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    with caplog.at_level("INFO", logger="weft.operators.components"):
+        got = dict(map(tuple, components(spark.range(1, 4097), edges).collect()))
+    assert got == {k: k if k in (2, 3, 4) else 1 for k in range(1, 4097)}
+    assert int(caplog.messages[-1].split()[1]) <= 20
+
+
+def test_components_equal_brute_force(spark):
+    r = random.Random(7)
+    pairs = [(f"n{r.randrange(300)}", f"n{r.randrange(300)}") for _ in range(200)] + [("n1", "n1"), ("n1", None)]
+    part = {f"n{k}": {f"n{k}"} for k in range(300)}
+    for a, b in pairs[:-1]:
+        both = part[a] | part[b]
+        part.update(dict.fromkeys(both, both))
+    nodes = spark.createDataFrame([(x,) for x in [*part, "n5", None]], "id string")
+    got = components(nodes, spark.createDataFrame(pairs, "a string, b string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(x, min(c)) for x, c in part.items()] + [("n5", min(part["n5"])), (None, None)], key=repr)
+    assert components(nodes.limit(0), spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_greedy_merge_equals_a_sequential_pass(spark):
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("ab") for _ in range(r.randrange(1, 6))) for _ in range(60)})
+    r.shuffle(words)
+    place = {w: k for k, w in enumerate(words)}
+    pairs = [tuple(r.sample(words, 2)) for _ in range(80)]
+    to = {}
+    for x in words:
+        if x in to:
+            continue
+        partners = sorted({b if a == x else a for a, b in pairs if x in (a, b)}, key=place.get)
+        for y in partners:
+            if place[y] > place[x] and y not in to:
+                keep = x if len(x) >= len(y) else y
+                to[y if keep == x else x] = keep
+    nodes = spark.createDataFrame(list(place.items()), "node string, node_ord int")
+    got = tidy.replay_names(nodes, spark.createDataFrame(pairs, "a string, b string").distinct())
+    assert {r.node: r.to for r in got.collect()} == to
+    with pytest.raises(ValueError):
+        tidy.replay_names(nodes, spark.createDataFrame(pairs, "a string, b string"), most=10)
+
+
+def test_fuzzy_lookup_equals_close_matches(spark):
+    r = random.Random(2)
+    labels = sorted({"".join(r.choice("abcd ") for _ in range(r.randrange(3, 12))).strip() or "x" for _ in range(300)})
+    g = graph.build_graph(spark.createDataFrame([(x, "uses", "hub", 0, "d", k) for k, x in enumerate(labels)], "subject string, predicate string, object string, chunk_id int, doc_name string, row_ord long")).settled()
+    for q in ("abcd", "dcba abc", "bbb", "zzzz"):
+        assert [r.node for r in query.lookup_fuzzy(g, q).collect()] == difflib.get_close_matches(q, [*labels, "hub"], n=5, cutoff=0.6)
+
+
+def test_spans_equal_a_walk():
+    r = random.Random(1)
+    for _ in range(50):
+        w, size, overlap = [r.randrange(1, 40) for _ in range(r.randrange(30))], r.randrange(1, 90), r.randrange(4)
+        want, at = [], 0
+        while at < len(w):
+            end = at
+            while end + 1 < len(w) and sum(w[at : end + 2]) <= size:
+                end += 1
+            want.append((at + 1, end + 1))
+            at += max(1, end - at + 1 - overlap)
+        assert chunking.span_lists([w], size, overlap) == [want]
+
+
+def test_triplets_are_built_once_and_loaded_then(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.txt").write_text("Machine learning uses neural networks. Machine learning enables speech systems.")
+    folder, saved = str(tmp_path / "docs"), str(tmp_path / "saved")
+    first = sorted(map(tuple, repl.triplets_at(spark, folder, saved).drop("row_ord").collect()))
+    (tmp_path / "docs" / "a.txt").write_text("Something else altogether was written here today.")
+    assert first and first == sorted(map(tuple, repl.triplets_at(spark, folder, saved).drop("row_ord").collect()))

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, word_count
 
-_SPANS = """
-CASE WHEN size(w) = 0 THEN cast(array() AS array<struct<s:int,e:int>>) ELSE
-aggregate(sequence(1, size(w)), named_struct('nx', 1, 'sp', cast(array() AS array<struct<s:int,e:int>>)),
-  (st, i) -> if(i = st.nx, named_struct(
-     'nx', i + greatest(1, greatest(i, size(filter(p, q -> q - p[i - 1] <= {size})) - 1) - i + 1 - {overlap}),
-     'sp', concat(st.sp, array(named_struct('s', i, 'e', greatest(i, size(filter(p, q -> q - p[i - 1] <= {size})) - 1))))), st)).sp END
-"""
+def span_lists(counts: Iterable[list[int]], size: int, overlap: int) -> list[list[tuple[int, int]]]:
+    """Spans of 1-based first and last sentences for each list of word counts; a binary search in the prefix sums each."""
+    out = []
+    for w in counts:
+        sums = np.concatenate([[0], np.cumsum(np.asarray(w, np.int64))])
+        spans, at = [], 1
+        while at <= len(w):
+            end = max(at, int(np.searchsorted(sums, sums[at - 1] + size, "right")) - 1)
+            spans.append((at, end))
+            at += max(1, end - at + 1 - overlap)
+        out.append(spans)
+    return out
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_name", text: str = "text") -> DataFrame:
@@ -27,14 +35,18 @@ def chunk_spans(docs: DataFrame, key: str = "doc_name", text: str = "text", size
 
     Word counts are positive, so where a chunk ends depends on where it starts only: the last sentence whose prefix
     sum stays within size, one sentence at least. The next one starts max(1, sentences - overlap) later, also at the
-    end of a document, which therefore ends in short chunks. No shuffle: a document is a row. Each step is exploded out
-    of an array of one, which keeps the optimizer from copying it into the lambdas of the next.
+    end of a document, which therefore ends in short chunks. No shuffle: a document is a row. A start depends on the
+    chunk before, so the walk is a vectorised UDF over the word counts alone, linear in the sentences. Each step is
+    exploded out of an array of one, which keeps the optimizer from copying it into the lambdas of the next.
     """
     own = docs.select(key, text, F.explode(F.array(sentences(F.col(text)))).alias("ss"))
     own = own.select(key, text, "ss", F.explode(F.array(F.transform("ss", word_count))).alias("w"))
-    sums = F.aggregate("w", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    own = own.select(key, text, "ss", "w", F.explode(F.array(sums)).alias("p"))
-    return own.select(key, text, "ss", "w", F.explode(F.array(F.expr(_SPANS.format(size=int(size), overlap=int(overlap))))).alias("sp"))
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def spans(counts):
+        return counts.__class__(span_lists(counts, size, overlap), dtype=object)
+
+    return own.withColumn("sp", spans("w"))
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_name", text: str = "text", size: int = 300, overlap: int = 2, drop_tail: bool = False) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..config import COOCCURS
 from .graph import Graph, counts, degrees, density, top_nodes
 
 #: Words of a question that are no keywords: fixed values.
-QUESTION_STOPWORDS = "what how why is are the a an does do tell me about between and or in of to from".split()
+QUESTION_STOPWORDS = ["what", "how", "why", "is", "are", "the", "a", "an", "does", "do", "tell", "me", "about", "between", "and", "or", "in", "of", "to", "from"]
 
 
 def lookup_exact(g: Graph, query: str) -> DataFrame:
@@ -120,8 +118,3 @@ def ask_messages(g: Graph, question: str) -> list[dict]:
     s = graph_summary(g).first()
     overview = f"The graph has {s.nodes} concepts and {s.edges} relations; key concepts: {s.top_concepts}; relations such as: {', '.join(s.relation_types[:8])}."
     return [{"role": "user", "content": f"Answer the question briefly and only from this graph.\n{overview}\n\n{build_context(g, question)}\n\nQuestion: {question}\nAnswer:"}]
-
-
-def iterate(rows: DataFrame) -> Iterator:
-    """Rows of a small result, one partition at a time."""
-    return rows.toLocalIterator()

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..config import COOCCURS
 from ..functions.text import inner_trigrams, normalise_label, trigrams
 from ..staging import cut
-from .graph import Graph, components, counts, degrees, density
+from .graph import Graph, components, counts, degrees, density, top_nodes
 
 #: Labels that are no concepts: fixed values.
-STOPWORDS = (
-    "the a an this that these those it its they them their we our is are was were be been being has have had do does did for of in on at by with from "
-    "to and or but not no so as if then than also each all text data information system approach method way type kind form example use used using based "
-    "new many large small different specific various"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "this", "that", "these", "those", "it", "its", "they", "them", "their", "we", "our",
+    "is", "are", "was", "were", "be", "been", "being", "has", "have", "had", "do", "does", "did", "for",
+    "of", "in", "on", "at", "by", "with", "from", "to", "and", "or", "but", "not", "no", "so",
+    "as", "if", "then", "than", "also", "each", "all", "text", "data", "information", "system", "approach", "method", "way",
+    "type", "kind", "form", "example", "use", "used", "using", "based", "new", "many", "large", "small", "different", "specific",
+    "various",
+]
 
 #: Abbreviations and what they stand for: fixed values.
 ABBREVIATIONS = {
@@ -114,7 +117,7 @@ def containment_pairs(nodes: DataFrame) -> DataFrame:
 
     The shorter label is looked up by its rarest trigram in an index of all labels' trigrams, then verified.
     """
-    own = nodes.where(F.char_length("node") > 4).select("node", F.explode(inner_trigrams(F.col("node"))).alias("g"))
+    own = cut(nodes.where(F.char_length("node") > 4).select("node", F.explode(inner_trigrams(F.col("node"))).alias("g")))
     rare = own.join(own.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("node").agg(F.min_by("g", F.struct("df", "g")).alias("g")).withColumnRenamed("node", "short")
     pairs = rare.join(own, "g").where((F.char_length("short") < F.char_length("node")) & F.col("node").contains(F.col("short")))
     return _ordered(pairs.select(F.col("short").alias("a"), F.col("node").alias("b")))
@@ -124,12 +127,13 @@ def trigram_pairs(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, similarity), a < b: trigram sets with Jaccard similarity of threshold or more.
 
     Prefix filter: of two such sets the rarest size - ceil(threshold * size) + 1 trigrams of each (by one global order
-    of rarity) share one, so only those meet; sizes must fit; survivors are verified on the whole sets.
+    of rarity) share one, so only those meet; sizes must fit; survivors are verified on the whole sets. The labels'
+    sets and the prefixes are cut in the shared folder, as both ends of the join read them.
     """
-    own = nodes.select("node", trigrams(F.col("node")).alias("gs")).withColumn("n", F.size("gs"))
+    own = cut(nodes.select("node", trigrams(F.col("node")).alias("gs")).withColumn("n", F.size("gs")))
     flat = own.select("node", "n", F.explode("gs").alias("g"))
     ranked = flat.join(flat.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "g")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("node", "n", "g")
+    prefix = cut(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("node", "n", "g"))
     a, b = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "g")
     candidates = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     sets = lambda end: own.select(F.col("node").alias(end), F.col("gs").alias(f"g{end}"))
@@ -145,8 +149,8 @@ def duplicate_pairs(nodes: DataFrame, threshold: float = 0.85, containment: bool
 
 def merge_names(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, to): each component of the pairs takes its longest label, ties by first place."""
-    linked = Graph(nodes, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    own = components(linked).join(nodes.select("node", "node_ord"), "node")
+    linked = Graph(nodes, cut(pairs).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    own = cut(components(linked)).join(nodes.select("node", "node_ord"), "node")
     best = own.groupBy("component").agg(F.min_by("node", F.struct((-F.char_length("node")).alias("n"), "node_ord")).alias("to"))
     return own.join(best, "component").where("node != to").select("node", "to")
 
@@ -203,7 +207,10 @@ def tidy(g: Graph, threshold: float = 0.85, containment: bool = True, min_degree
 
 
 def node_report(g: Graph) -> DataFrame:
-    """One row: nodes, edges, isolated nodes, mean degree (2 places), density (4 places)."""
+    """One row: nodes, edges, isolated nodes, mean degree (2 places), density (4 places), the ten nodes of highest
+    degree with it, ties by first place."""
     d = degrees(g).agg(F.count_if(F.col("degree") == 0).alias("isolates"))
-    out = counts(g).crossJoin(F.broadcast(d))  # one row each
-    return out.select("nodes", "edges", "isolates", F.round(F.when(F.col("nodes") > 0, 2 * F.col("edges") / F.col("nodes")).otherwise(0.0), 2).alias("mean_degree"), F.round(density(F.col("nodes"), F.col("edges")), 4).alias("density"))
+    best = top_nodes(g, 10).join(g.nodes.select("node", "node_ord"), "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), "node_ord", "node"))).alias("t"))
+    names = best.select(F.array_join(F.transform("t", lambda x: F.concat(x["node"], F.lit(": "), (-x["d"]).cast("string"))), ", ").alias("top_nodes"))
+    out = counts(g).crossJoin(F.broadcast(d)).crossJoin(F.broadcast(names))  # one row each
+    return out.select("nodes", "edges", "isolates", F.round(F.when(F.col("nodes") > 0, 2 * F.col("edges") / F.col("nodes")).otherwise(0.0), 2).alias("mean_degree"), F.round(density(F.col("nodes"), F.col("edges")), 4).alias("density"), "top_nodes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text, normalise_label, parse_concepts, parse_triplet_lines
 from ..operators import chunking, extract, graph, query, tidy, traverse, view, weights
 from ..operators.graph import Graph
+from ..sources import files
+from ..staging import cut, shared_dir
 from . import testgraphs as tg
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-REL, EVENT, DIRTY = "WITH RECURSIVE " + tg.REL_SQL + "," + tg.GRAPH_SQL, "WITH " + tg.EVENT_SQL + "," + tg.GRAPH_SQL, "WITH RECURSIVE " + tg.DIRTY_SQL + "," + tg.GRAPH_SQL
+REL, EVENT = "WITH RECURSIVE " + tg.REL_SQL + "," + tg.GRAPH_SQL, "WITH " + tg.EVENT_SQL + "," + tg.GRAPH_SQL
 RELW, EVENTW = REL + "," + tg.WEIGHT_SQL, EVENT + "," + tg.WEIGHT_SQL
 CLEAN = "WITH " + tg.CLEAN_SQL
 CONCEPTS = CLEAN + "," + tg.CONCEPT_SQL
+WORDS = "WITH RECURSIVE " + tg.CLEAN_SQL + "," + tg.CONCEPT_SQL + "," + tg.WORDS_SQL + "," + tg.GRAPH_SQL
 
 
 def query_(sql: str | None = None):
@@ -36,16 +40,17 @@ def joined(c: str):
 
 
 def rel(spark: SparkSession, sf: str) -> Graph:
-    return graph.build_graph(tg.relational(spark, sf))
+    """Places and parts as a graph, in the shared folder: every step after this one reads it several times."""
+    return graph.build_graph(tg.relational(spark, sf)).settled()
 
 
 def event(spark: SparkSession, sf: str) -> Graph:
-    return graph.build_graph(tg.event(spark, sf))
+    return graph.build_graph(tg.event(spark, sf)).settled()
 
 
 def words(spark: SparkSession, sf: str) -> Graph:
     """The documents' co-occurrence graph: junk, containment and pairs in both directions occur in it."""
-    return graph.build_graph(extract.triplet_table(extract.cooccurrence(tg.text_concepts(spark, sf))))
+    return graph.build_graph(cut(extract.triplet_table(extract.cooccurrence(tg.text_concepts(spark, sf))))).settled()
 
 
 def ready(spark: SparkSession, sf: str) -> Graph:
@@ -105,7 +110,7 @@ def concept_topk(spark, sf):
 
 
 @query_(
-    r"""WITH a AS (SELECT doc_id, '1. ' || replace(left(text, 200), '.', E'.\n- ') AS raw FROM documents),
+    r"""WITH a AS (SELECT doc_id, '1. ' || replace(text, '.', E'.\n- ') AS raw FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(raw, '\n+', ', ', 'g'), '(^|,)\s*\d+\.\s*', '\1', 'g'), '(^|,)\s*[-*•]\s*', '\1', 'g') AS x FROM a),
 c AS (SELECT doc_id, i, lower(trim(regexp_replace(parts[i], '^\s+|\s+$', '', 'g'), '.:;''"-')) AS c FROM (SELECT doc_id, string_split(x, ',') AS parts, unnest(range(1, len(string_split(x, ',')) + 1)) AS i FROM b))
 SELECT doc_id, c AS concept FROM c WHERE length(c) BETWEEN 2 AND 60 AND len(regexp_split_to_array(trim(c), '\s+')) <= 5 GROUP BY doc_id, c"""
@@ -116,7 +121,7 @@ def concept_parse(spark, sf):
 
 
 @query_(
-    r"""WITH a AS (SELECT doc_id, unnest(string_split(left(text, 400), chr(10))) AS line FROM documents),
+    r"""WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 b AS (SELECT doc_id, list_transform(string_split(replace(regexp_replace(regexp_replace(regexp_replace('1) ' || line, '^\s+|\s+$', '', 'g'), '^\d+[.)]\s*', ''), '^[-*•]\s*', ''), ', ', '|'), '|'),
   lambda p: trim(lower(regexp_replace(p, '^\s+|\s+$', '', 'g')), '.:;''"')) AS p FROM a)
 SELECT doc_id, p[1] AS subject, p[2] AS predicate, p[3] AS object FROM b WHERE len(p) = 3 AND len(list_filter(p, lambda x: x = '' OR len(regexp_split_to_array(trim(x), '\s+')) > 8)) = 0"""
@@ -150,7 +155,7 @@ def concept_distinct(spark, sf):
 # --- graph --------------------------------------------------------------------------------------------------------
 
 
-@query_(DIRTY + " SELECT src, predicate, dst, chunk_id::INT AS chunk_id, doc_name FROM n")
+@query_(REL + " SELECT src, predicate, dst, chunk_id::INT AS chunk_id, doc_name FROM n")
 def triplet_normalise(spark, sf):
     return graph.normalise_triplets(tg.relational(spark, sf)).drop("row_ord")
 
@@ -195,7 +200,7 @@ cc(node, component) AS (SELECT node, node FROM (SELECT node FROM v WHERE node IN
 m AS (SELECT node, min(component) AS seed FROM cc GROUP BY node), k AS (SELECT seed, min(node) AS component FROM m GROUP BY seed)
 SELECT node, component FROM m JOIN k USING (seed)""")
 def weak_components(spark, sf):
-    return graph.components(rel(spark, sf).settled())
+    return graph.components(rel(spark, sf))
 
 
 @query_(REL + """, arc AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
@@ -205,7 +210,7 @@ SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, rou
   round(2 * (SELECT count(*) FROM e) / (SELECT count(*) FROM v), 2) AS mean_degree,
   (SELECT string_agg(node, ', ' ORDER BY degree DESC, node) FROM (SELECT node, degree FROM d ORDER BY degree DESC, node_ord LIMIT 5)) AS top_nodes, (SELECT count(DISTINCT seed) FROM m) AS components""")
 def graph_summary(spark, sf):
-    return graph.summary(rel(spark, sf).settled())
+    return graph.summary(rel(spark, sf))
 
 
 # --- weights ------------------------------------------------------------------------------------------------------
@@ -253,12 +258,12 @@ def label_normalise(spark, sf):
     return tg.read(spark, sf, "part").select("p_partkey", normalise_label(F.concat(F.lit("  ("), "p_name", F.lit("_"), "p_type", F.lit("!)."))).alias("label"))
 
 
-@query_(DIRTY + " SELECT node, " + _EXPAND.format(c="node") + " AS expanded FROM v")
+@query_(REL + " SELECT node, " + _EXPAND.format(c="node") + " AS expanded FROM v")
 def abbrev_expand(spark, sf):
     return rel(spark, sf).nodes.select("node", tidy.expand(F.col("node")).alias("expanded"))
 
 
-_RELABEL = DIRTY + ", nm AS (SELECT node, CASE WHEN x = '' THEN node ELSE " + _EXPAND.format(c="x") + " END AS name FROM (SELECT node, " + _LABEL.format(c="node") + " AS x FROM v)), r AS (SELECT a.name AS src, b.name AS dst, e.edge_count, e.edge_ord FROM e JOIN nm a ON e.src = a.node JOIN nm b ON e.dst = b.node)"
+_RELABEL = REL + ", nm AS (SELECT node, CASE WHEN x = '' THEN node ELSE " + _EXPAND.format(c="x") + " END AS name FROM (SELECT node, " + _LABEL.format(c="node") + " AS x FROM v)), r AS (SELECT a.name AS src, b.name AS dst, e.edge_count, e.edge_ord FROM e JOIN nm a ON e.src = a.node JOIN nm b ON e.dst = b.node)"
 
 
 @query_(_RELABEL + " SELECT src, dst, sum(edge_count)::BIGINT AS edge_count, min(edge_ord) AS edge_ord FROM r WHERE src <> dst GROUP BY src, dst")
@@ -271,14 +276,14 @@ _JUNK = r"""CASE WHEN length(x) < 2 THEN 'too short' WHEN len(list_filter(regexp
   WHEN len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: length(w) > 1)) = 0 THEN 'single letters' WHEN regexp_full_match(x, '[\d\s.,\-_/()]+') THEN 'numeric' END"""
 
 
-@query_(DIRTY + " SELECT x AS node, " + _JUNK + " AS reason FROM (SELECT node AS x FROM v) WHERE " + _JUNK + " IS NOT NULL")
+@query_(REL + " SELECT x AS node, " + _JUNK + " AS reason FROM (SELECT node AS x FROM v) WHERE " + _JUNK + " IS NOT NULL")
 def junk_nodes(spark, sf):
     return rel(spark, sf).nodes.select("node", tidy.junk_reason(F.col("node")).alias("reason")).where("reason IS NOT NULL")
 
 
 def labels(spark, sf) -> DataFrame:
     """Distinct text concepts, and some of them with an s, as labels."""
-    c = tg.text_concepts(spark, sf).select(F.explode("concepts").alias("node")).distinct()
+    c = cut(tg.text_concepts(spark, sf).select(F.explode("concepts").alias("node")).distinct())
     return c.union(c.where("node < 'c'").select(F.concat("node", F.lit("s")))).distinct()
 
 
@@ -295,9 +300,10 @@ def containment_pairs(spark, sf):
     return tidy.containment_pairs(labels(spark, sf))
 
 
-_TRIGRAMS = _LABELS + """, tg AS (SELECT DISTINCT node, substr('  ' || node || '  ', i, 3) AS g FROM (SELECT node, unnest(range(1, length(node) + 3)) AS i FROM lb)),
+_TG = """tg AS (SELECT DISTINCT node, substr('  ' || node || '  ', i, 3) AS g FROM (SELECT node, unnest(range(1, length(node) + 3)) AS i FROM lb)),
 tn AS (SELECT node, count(*) AS n FROM tg GROUP BY node), sh AS (SELECT x.node AS a, y.node AS b, count(*) AS c FROM tg x JOIN tg y ON x.g = y.g AND x.node < y.node GROUP BY ALL),
 tp AS (SELECT a, b, c / (p.n + q.n - c) AS similarity FROM sh JOIN tn p ON a = p.node JOIN tn q ON b = q.node WHERE c / (p.n + q.n - c) >= 0.85)"""
+_TRIGRAMS = _LABELS + ", " + _TG
 
 
 @query_(_TRIGRAMS + " SELECT a, b, round(similarity, 6) AS similarity FROM tp")
@@ -305,10 +311,13 @@ def trigram_pairs(spark, sf):
     return tidy.trigram_pairs(labels(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-_MERGE = "WITH RECURSIVE" + (_TRIGRAMS + """, pp AS (SELECT a.node AS a, b.node AS b FROM lb a JOIN lb b ON rtrim(a.node, 's') = rtrim(b.node, 's') AND a.node < b.node AND abs(length(a.node) - length(b.node)) <= 2),
-pr AS (SELECT a, b FROM pp UNION SELECT a, b FROM tp), arc AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr),
-cc(node, c) AS (SELECT a, a FROM arc UNION SELECT arc.b, cc.c FROM cc JOIN arc ON arc.a = cc.node), m AS (SELECT node, min(c) AS c FROM cc GROUP BY node),
-best AS (SELECT c, arg_min(node, (-length(node), node)) AS name FROM m GROUP BY c), ren AS (SELECT node, name FROM m JOIN best USING (c) WHERE node <> name)""").removeprefix("WITH")
+_PLURALS = "pp AS (SELECT a.node AS a, b.node AS b FROM lb a JOIN lb b ON rtrim(a.node, 's') = rtrim(b.node, 's') AND a.node < b.node AND abs(length(a.node) - length(b.node)) <= 2)"
+_HOLDS = "hc AS (SELECT DISTINCT least(a.node, b.node) AS a, greatest(a.node, b.node) AS b FROM lb a JOIN lb b ON length(a.node) > 4 AND length(a.node) < length(b.node) AND contains(b.node, a.node))"
+#: Components of pairs pr (a, b), and the longest label of each.
+_SPREAD = """arc AS MATERIALIZED (SELECT a, b FROM pr UNION SELECT b, a FROM pr),
+cc(node, c) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM arc GROUP BY a UNION SELECT arc.b, min(cc.c) FROM cc JOIN arc ON arc.a = cc.node JOIN recurring.cc AS r ON r.node = arc.b WHERE cc.c < r.c GROUP BY arc.b),
+m AS (SELECT node, c FROM cc), best AS (SELECT c, arg_min(node, (-length(node), o)) AS name FROM m JOIN lo USING (node) GROUP BY c), ren AS (SELECT node, name FROM m JOIN best USING (c) WHERE node <> name)"""
+_MERGE = "WITH RECURSIVE" + _TRIGRAMS.removeprefix("WITH") + ", " + _PLURALS + ", " + _HOLDS + ", pr AS MATERIALIZED (SELECT a, b FROM pp UNION SELECT a, b FROM tp UNION SELECT a, b FROM hc), lo AS (SELECT node, node AS o FROM lb), " + _SPREAD
 
 
 @query_(_MERGE + " SELECT node, name AS merged_into FROM ren")
@@ -326,7 +335,7 @@ def apply_merges(spark, sf):
     return tidy.relabel(g, tidy.merge_names(nodes, tidy.duplicate_pairs(nodes))).edges.select("src", "dst", "edge_count")
 
 
-@query_(DIRTY + """, k AS (SELECT e.*, v.node_ord AS o FROM e JOIN v ON e.src = v.node), r AS (SELECT *, count(*) FILTER (cooc) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS n,
+@query_(WORDS + """, k AS (SELECT e.*, v.node_ord AS o FROM e JOIN v ON e.src = v.node), r AS (SELECT *, count(*) FILTER (cooc) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS n,
 row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY edge_count DESC, o) AS rn FROM k) SELECT src, dst, edge_count FROM r WHERE n < 2 OR rn = 1""")
 def reciprocal_prune(spark, sf):
     return tidy.prune_reciprocal(words(spark, sf)).edges.select("src", "dst", "edge_count")
@@ -337,16 +346,48 @@ def isolate_prune(spark, sf):
     return tidy.prune_isolates(rel(spark, sf), 2).edges.select("src", "dst")
 
 
-@query_(REL + " SELECT count(*) AS nodes, (SELECT count(*) FROM e) AS edges, count(*) FILTER (degree = 0) AS isolates, round(2 * (SELECT count(*) FROM e) / count(*), 2) AS mean_degree, round((SELECT count(*) FROM e) / (count(*) * (count(*) - 1)), 4) AS density FROM d")
+@query_(REL + " SELECT count(*) AS nodes, (SELECT count(*) FROM e) AS edges, count(*) FILTER (degree = 0) AS isolates, round(2 * (SELECT count(*) FROM e) / count(*), 2) AS mean_degree, round((SELECT count(*) FROM e) / (count(*) * (count(*) - 1)), 4) AS density, (SELECT string_agg(node || ': ' || degree, ', ' ORDER BY degree DESC, node_ord) FROM (SELECT * FROM d ORDER BY degree DESC, node_ord LIMIT 10)) AS top_nodes FROM d")
 def node_report(spark, sf):
     return tidy.node_report(rel(spark, sf))
 
 
-@query_()
+_TIDY = (
+    WORDS
+    + ", nm AS (SELECT node, node_ord, CASE WHEN x = '' THEN node ELSE " + _EXPAND.format(c="x") + " END AS name FROM (SELECT node, node_ord, " + _LABEL.format(c="node") + " AS x FROM v)),"
+    + " v1 AS (SELECT name AS x, min(node_ord) AS o FROM nm GROUP BY name), lo AS MATERIALIZED (SELECT x AS node, o FROM v1 WHERE " + _JUNK + " IS NULL), lb AS (SELECT node FROM lo),"
+    + " e1 AS (SELECT a.name AS src, b.name AS dst, sum(edge_count)::BIGINT AS c FROM e JOIN nm a ON e.src = a.node JOIN nm b ON e.dst = b.node WHERE a.name <> b.name AND a.name IN (FROM lb) AND b.name IN (FROM lb) GROUP BY ALL), "
+    + _TG + ", " + _PLURALS + ", " + _HOLDS + ", pr AS MATERIALIZED (SELECT a, b FROM pp UNION SELECT a, b FROM tp UNION SELECT a, b FROM hc), " + _SPREAD
+    + """, lm AS (SELECT coalesce(name, node) AS node, min(o) AS o FROM lo LEFT JOIN ren USING (node) GROUP BY 1),
+e2 AS (SELECT coalesce(p.name, src) AS s, coalesce(q.name, dst) AS t, c FROM e1 LEFT JOIN ren p ON src = p.node LEFT JOIN ren q ON dst = q.node),
+e3 AS (SELECT s AS src, t AS dst, sum(c)::BIGINT AS c FROM e2 WHERE s <> t GROUP BY s, t),
+r AS (SELECT src, dst, c, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY c DESC, o) AS rn FROM e3 JOIN lm ON src = node)
+SELECT src, dst, c AS edge_count, 'co-occurs with' AS label FROM r WHERE rn = 1"""
+)
+
+
+@query_(_TIDY)
 def tidy_graph(spark, sf):
     return tidy.tidy(words(spark, sf)).edges.select("src", "dst", "edge_count", "label")
 
 
+#: The greedy pass, a pair at a time: whose pairs are open (head), what is merged so far (gone) and where to (moves).
+_GREEDY = (
+    "WITH RECURSIVE" + _TRIGRAMS.removeprefix("WITH") + ", " + _PLURALS
+    + """, gp AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) AS k, a AS x, b AS y FROM (SELECT a, b FROM pp UNION SELECT a, b FROM tp)),
+st(k, head, open, gone, moved, kept) AS (SELECT 0::BIGINT, '', false, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR
+  UNION ALL SELECT k, x, o, CASE WHEN hit THEN list_append(gone, CASE WHEN length(x) >= length(y) THEN y ELSE x END) ELSE gone END,
+    CASE WHEN hit THEN CASE WHEN length(x) >= length(y) THEN y ELSE x END END, CASE WHEN hit THEN CASE WHEN length(x) >= length(y) THEN x ELSE y END END
+  FROM (SELECT *, o AND NOT list_contains(gone, y) AS hit FROM (SELECT gp.k, gp.x, gp.y, st.gone, CASE WHEN gp.x = st.head THEN st.open ELSE NOT list_contains(st.gone, gp.x) END AS o FROM st JOIN gp ON gp.k = st.k + 1)))
+SELECT moved AS node, arg_max(kept, k) AS merged_into FROM st WHERE moved IS NOT NULL GROUP BY moved"""
+)
+
+
+@query_(_GREEDY)
+def merge_greedy(spark, sf):
+    nodes = cut(labels(spark, sf).withColumn("node_ord", F.col("node")))
+    return tidy.replay_names(nodes, tidy.duplicate_pairs(nodes, containment=False)).withColumnRenamed("to", "merged_into")
+
+
 # --- queries ------------------------------------------------------------------------------------------------------
 
 
@@ -429,6 +470,57 @@ def context_lines(spark, sf):
     return query.context_edges(ready(spark, sf), ["asia", "brand#11", "brand#22"])
 
 
+@query_(
+    RELW
+    + """ SELECT (SELECT count(*) FROM fv) AS nodes, (SELECT count(*) FROM fe) AS edges, round((SELECT count(*) FROM fe) / ((SELECT count(*) FROM fv) * ((SELECT count(*) FROM fv) - 1)), 4) AS density,
+  (SELECT string_agg(node, ', ' ORDER BY degree DESC, node) FROM (SELECT node, degree FROM fd ORDER BY degree DESC, node_ord LIMIT 5)) AS top_concepts,
+  (SELECT string_agg(label, '|' ORDER BY label) FROM (SELECT DISTINCT label FROM fe WHERE label NOT IN ('', 'co-occurs with'))) AS relation_types"""
+)
+def engine_summary(spark, sf):
+    return query.graph_summary(ready(spark, sf)).withColumn("relation_types", F.array_join("relation_types", "|"))
+
+
+#: The nodes of a question: "asia" is a label, "brand#1" only a part of some; the other words find nothing or do not count.
+_QUESTION = "What do Asia and BRAND#1 tell"
+_PICK = RELW + """, kw AS (SELECT * FROM (VALUES ('asia', 0), ('brand#1', 1)) AS x(word, w)), ex AS (SELECT w, node, 0::BIGINT AS r FROM kw JOIN fv ON node = word),
+su AS (SELECT w, node, row_number() OVER (PARTITION BY w ORDER BY node_ord) AS r FROM kw JOIN fv ON contains(node, word) OR contains(word, node) WHERE w NOT IN (SELECT w FROM ex)),
+pick AS (SELECT node, (row_number() OVER (ORDER BY w, r) - 1)::INT AS node_pos FROM (FROM ex UNION ALL FROM su WHERE r <= 2))"""
+
+
+@query_(_PICK + " SELECT node_pos, node FROM pick")
+def context_pick(spark, sf):
+    found = query.context_nodes(ready(spark, sf), _QUESTION)
+    return spark.createDataFrame(list(enumerate(found)), "node_pos int, node string")
+
+
+@query_(
+    _PICK
+    + """, x AS (SELECT node_pos, 0 AS direction, src, dst, label, weight, edge_ord FROM fe JOIN pick ON src = node UNION ALL SELECT node_pos, 1, src, dst, label, weight, edge_ord FROM fe JOIN pick ON dst = node),
+r AS (SELECT *, row_number() OVER (PARTITION BY node_pos, direction ORDER BY round(weight, 3) DESC, edge_ord) AS rank FROM x)
+SELECT 'Knowledge graph context:' || chr(10) || string_agg('  ' || src || ' --[' || label || ']--> ' || dst, chr(10) ORDER BY node_pos, direction, rank) AS context FROM r WHERE rank <= 4 AND label <> 'co-occurs with'"""
+)
+def context_text(spark, sf):
+    return spark.createDataFrame([(query.build_context(ready(spark, sf), _QUESTION),)], "context string")
+
+
+# --- sources ------------------------------------------------------------------------------------------------------
+
+
+@query_("WITH " + tg.REL_SQL + " SELECT subject, predicate, object, chunk_id, doc_name FROM t")
+def triplet_csv(spark, sf):
+    """Written as CSV to the shared folder and read again."""
+    path = f"{shared_dir(spark)}/triplets-{uuid.uuid4().hex}"
+    files.write_triplets(tg.relational(spark, sf), path)
+    return files.read_triplets(spark, path).drop("row_ord")
+
+
+@query_("WITH " + tg.EVENT_SQL + " SELECT subject, predicate, object, chunk_id, doc_name FROM t")
+def triplet_parquet(spark, sf):
+    path = f"{shared_dir(spark)}/triplets-{uuid.uuid4().hex}"
+    files.write_triplets(tg.event(spark, sf), path, "parquet")
+    return files.read_triplets(spark, path, "parquet").drop("row_ord")
+
+
 # --- view ---------------------------------------------------------------------------------------------------------
 
 _VIEW = RELW + """, tv AS (SELECT * FROM fd ORDER BY degree DESC, node_ord LIMIT 50), te AS (SELECT * FROM fe WHERE src IN (SELECT node FROM tv) AND dst IN (SELECT node FROM tv)),

@@ -91,35 +91,12 @@ words AS (SELECT doc_id, text, ss, list_transform(ss, lambda s: len(regexp_split
 CONCEPT_SQL = """
 tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS token FROM clean),
 cnt AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL),
-con AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rk FROM cnt QUALIFY rk <= 8)"""
-
-#: Labels for the cleaning passes: abbreviations, plurals, containment, junk and reciprocal pairs.
-DIRTY = [
-    ("ML", "uses", "neural networks", 0),
-    ("machine learning", "is part of", "(Graph).", 0),
-    ("neural network", "enables", "machine learning", 0),
-    ("learning", "co-occurs with", "machine learning", 1),
-    ("alpha node", "co-occurs with", "beta node", 1),
-    ("alpha node", "co-occurs with", "beta node", 2),
-    ("beta node", "co-occurs with", "alpha node", 2),
-    ("alpha node", "uses", "gamma node", 2),
-    ("gamma node", "uses", "alpha node", 3),
-    ("data", "uses", "3.14", 3),
-    ("x", "uses", "2020-01", 3),
-    ("a b c", "uses", "one two three four five six", 3),
-    ("neural_networks", "uses", "knowledge graphs", 4),
-    ("kg", "is a type of", "knowledge graph", 4),
-    ("ai", "co-occurs with", "chain", 5),
-    ("deep  learning!", "is a subset of", "ML", 5),
-]
-
-
-def dirty(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    rows = [(s, p, o, c, "dirty", k) for k, (s, p, o, c) in enumerate(DIRTY)]
-    return spark.createDataFrame(rows, "subject string, predicate string, object string, chunk_id int, doc_name string, row_ord long")
-
-
-DIRTY_SQL = "t AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{p}', '{o}', {c}, 'dirty', {k})" for k, (s, p, o, c) in enumerate(DIRTY)) + ") AS x(subject, predicate, object, chunk_id, doc_name, row_ord))"
+con AS MATERIALIZED (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rk FROM cnt QUALIFY rk <= 8)"""
+
+#: The documents' co-occurrence graph: every ordered pair of a document's tokens, in the order of documents and places.
+WORDS_SQL = """
+t AS MATERIALIZED (SELECT a.token AS subject, 'co-occurs with' AS predicate, b.token AS object, 0 AS chunk_id, a.doc_id::VARCHAR AS doc_name, row_number() OVER (ORDER BY a.doc_id::VARCHAR, a.rk, b.rk) AS row_ord
+  FROM con a JOIN con b ON a.doc_id = b.doc_id AND a.rk < b.rk)"""
 
 #: Graph tables of a triplet table t, in SQL.
 GRAPH_SQL = """

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..config import TRIPLETS
 from ..functions.text import clean_text, strip
 
-SUFFIXES = (".txt", ".pdf")
-
 
 def decode(content: Column) -> Column:
     """UTF-8, or ISO-8859-1 for a whole file that is not UTF-8; line ends become line feeds."""
@@ -68,10 +66,10 @@ def pdf_pages(files: DataFrame, strict: bool) -> DataFrame:
 
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_name, text) of the .txt and .pdf files right in a folder, cleaned; blank files are left out."""
-    files = _named(spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*"))
-    plain = files.where(F.lower("doc_name").endswith(".txt")).select("doc_name", decode(F.col("content")).alias("text"))
-    pdf = files.where(F.lower("doc_name").endswith(".pdf"))
-    if pdf.limit(1).count():
+    read = lambda glob: _named(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder))
+    plain = read("*.[tT][xX][tT]").select("doc_name", decode(F.col("content")).alias("text"))
+    pdf = read("*.[pP][dD][fF]")
+    if pdf.select("doc_name").limit(1).count():
         plain = plain.unionByName(pdf_pages(pdf, strict=False))
     return plain.where(strip(F.col("text")) != "").withColumn("text", clean_text(F.col("text")))
 
