@@ -288,3 +288,43 @@ def test_lines_within_any_bound_equal_brute_force(spark, k, near, alphabet, leng
         want.append(None if t is None else "\n".join(out))
     docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, keep int, row int, id int")
     assert [g.text for g in linededup.dedup_lines(docs, k, near).orderBy("doc_id").collect()] == want
+
+
+def test_pii_names_numbers_and_what_stays(spark):
+    texts = [
+        "Mr John Smith wrote. Smith left and JOHN SMITH too. Smithson did not.",
+        "MR JOHN SMITH and mr john smith",
+        "Maria Garden, Sarah The, Miss Universe, 1234567890123456 items, 999.1.2.3, DE88 3704 0044 0532 0130 00",
+        "my name is Priya Raman; Raman writes. DE89 3704 0044 0532 0130 00",
+        "Smith alone, in another text",
+    ]
+    docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string, map int, k int, row int")
+    out = [r.text for r in pii.replace_pii(docs, "k").orderBy("doc_id").collect()]
+    assert not {"John", "Smith", "JOHN", "SMITH"} & set(out[0].replace(".", " ").split()) and "Smithson" in out[0]
+    given, last = out[0].split()[1:3]
+    assert out[0].split()[4:5] == [last] or last in out[0].split(".")[1]
+    assert out[1].lower().count(f"{given} {last}".lower()) == 2 and "smith" not in out[1].lower()
+    assert out[2] == texts[2] and out[4] == texts[4] and out[5] == out[0]
+    assert "Raman" not in out[3] and "Priya" not in out[3] and "DE89 3704" not in out[3]
+    iban = out[3].split(". ")[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert given in pii.GIVEN["latin", "m"]
+
+
+def test_surrogates_are_a_permutation_of_each_format(spark):
+    norms = [("email", f"{a}{b}{c}@b.io") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghij"]
+    norms += [("ssn", f"{k:09d}") for k in range(300)] + [("ip", f"{k}.0.0.{k % 7}") for k in range(256)] + [("name-latin-s", x) for x in ("smith", "smyth", "o'brien", "müller", "li")]
+    norms += [("name-latin-m", x.lower()) for x in pii.GIVEN["latin", "m"]] + [("phone", f"+1555{k:07d}") for k in range(200)]
+    got = pii.assign(spark.createDataFrame(norms, "kind string, norm string").repartition(4), "k").collect()
+    assert {(r.kind, r.norm) for r in got} == set(norms) and len({(r.kind, r.sur) for r in got}) == len(norms)
+    shape = lambda x: "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in x)
+    assert all(shape(r.norm) == shape(r.sur) for r in got if r.kind not in ("ip", "name-latin-m"))
+    assert {r.sur for r in got if r.kind == "name-latin-m"} == {x.lower() for x in pii.GIVEN["latin", "m"]}
+    few = pii.assign(spark.createDataFrame(norms[:500:7], "kind string, norm string"), "k").collect()
+    assert sum((r.kind, r.norm, r.sur) in set(map(tuple, got)) for r in few) >= 0.5 * len(few)  # a larger table moves only collisions
+
+
+def test_a_format_that_is_used_up(spark):
+    full = [("email", f"{a}@{b}.io") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.assign(spark.createDataFrame(full, "kind string, norm string"), "k").collect()
+    assert len({r.sur for r in got}) == len(full) and not [r for r in got if r.norm == r.sur]
