@@ -125,7 +125,7 @@ def test_fingerprints(spark):
         n = len(t) // 4
         assert g.edited_sha256 == hashlib.sha256((t[: len(t) - n] + x[:n]).encode()).hexdigest()
         assert g.fingerprint == fingerprint.to_text(fingerprint.sketch(t))
-    assert all(0.3 < g.near_edited < 0.9 and g.near_next < 0.05 for g in got[:8])
+    assert all(0.3 < g.near_edited < 0.9 and g.near_next < 0.05 and g.held_by_edited > g.near_edited for g in got[:8])
     a, b = fingerprint.sketch(texts[0]), fingerprint.sketch(texts[0] + " " + texts[1])
     assert fingerprint.containment(a, b) > 0.95 and np.array_equal(fingerprint.from_text(fingerprint.to_text(a)), a)
 
@@ -328,3 +328,50 @@ def test_a_format_that_is_used_up(spark):
     full = [("email", f"{a}@{b}.io") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
     got = pii.assign(spark.createDataFrame(full, "kind string, norm string"), "k").collect()
     assert len({r.sur for r in got}) == len(full) and not [r for r in got if r.norm == r.sur]
+
+
+def test_fingerprints_estimate_exact_figures(spark):
+    texts = [prose(k, 200 + 40 * k, 3000) for k in range(24)]
+    texts = [x for t in texts for x in (t, t + " " + prose(len(t), 400, 3000))]  # each text is a part of the next one
+    docs = spark.createDataFrame([(f"id {k:03d}", t, 1, 2) for k, t in enumerate(texts)], "doc_id string, text string, part int, id int")
+    got = fingerprint.fingerprint_edits(docs.repartition(3)).orderBy("doc_id").collect()
+
+    def exact(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    errors = []
+    for k, g in enumerate(got):
+        t, x = texts[k], texts[(k + 1) % len(texts)]
+        n = len(t) // 4
+        a, b, c = exact(t), exact(t[: len(t) - n] + x[:n]), exact(x)
+        errors += [(g.near_edited, len(a & b) / len(a | b)), (g.near_next, len(a & c) / len(a | c)), (g.held_by_edited, len(a & b) / len(a)), (g.held_by_next, len(a & c) / len(a))]
+    assert max(abs(a - b) for a, b in errors) < 0.25 and sum(abs(a - b) for a, b in errors) / len(errors) < 0.04
+    a, b = fingerprint.sketch(texts[0]), fingerprint.sketch(texts[9])
+    both = np.union1d(fingerprint.shingles(texts[0]), fingerprint.shingles(texts[9])) >> np.uint64(16)
+    assert np.array_equal(fingerprint.merged(a, b), both[both < np.uint64(fingerprint.LIMIT)])
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    texts = [prose(k % 7, 30, 500) for k in range(200)]
+    docs = spark.createDataFrame([(None if k % 3 == 0 else 5, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = fingerprint.fingerprint_edits(docs).collect()
+    assert len(got) == 200 and sum(g.doc_id is None for g in got) == sum(k % 3 == 0 for k in range(200))
+    ring = {}
+    for g in got:
+        ring.setdefault(g.fingerprint, set()).add(g.n_chars)
+    assert len(ring) == 7  # equal texts have equal fingerprints
+
+
+def test_bloom_filter_of_one_and_many_blocks(spark, monkeypatch):
+    keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("u"))
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("u"), F.lit(1).alias("may"), F.lit(2).alias("row"))
+    for most in (1 << 18, 4):  # broadcast, and joined by block
+        monkeypatch.setattr(urlfilter, "BROADCAST_BLOCKS", most)
+        got = urlfilter.listed(rows, "u", keys, "u").where("listed").count()
+        assert got == 4000
+    one = urlfilter.bloom(keys, "u", 1)
+    assert one.count() == 1 and urlfilter.probe(rows, F.col("u"), one, 1).where("may").count() == 20_000  # full: all pass
+    blocks = urlfilter.n_blocks(4000)
+    passed = urlfilter.probe(rows, F.col("u"), urlfilter.bloom(keys, "u", blocks), blocks).where("may").count()
+    assert 4000 <= passed < 4000 + 0.05 * 16_000

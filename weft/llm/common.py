@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..staging import cut, drop_cut, shared_dir
 
-__all__ = ["WORD", "ascii_lower", "cut", "drop_cut", "held_out", "lean", "mix", "pack", "partitions", "release", "shared_dir", "ship", "shingles", "table", "unpack"]
+__all__ = ["WORD", "ascii_lower", "cut", "drop_cut", "held_out", "lean", "mix", "named", "pack", "partitions", "release", "shared_dir", "ship", "shingles", "table", "unpack"]
 
 #: White space of the word contracts: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,7 +56,7 @@ def pack(df: DataFrame, **own: Column | str) -> DataFrame:
     """(row, *own): all of df's columns but those that own reads by name as one struct, so that no name of theirs can
     clash with a name of ours. The first of own is in the struct as well."""
     taken = list(own.values())[1:]
-    return df.select(F.struct(*[_named(c) for c in df.columns if c not in taken]).alias("row"), *[(_named(c) if isinstance(c, str) else c).alias(k) for k, c in own.items()])
+    return df.select(F.struct(*[named(c) for c in df.columns if c not in taken]).alias("row"), *[(named(c) if isinstance(c, str) else c).alias(k) for k, c in own.items()])
 
 
 def unpack(columns: list[str], **own: Column | str) -> list[Column]:
@@ -65,7 +65,7 @@ def unpack(columns: list[str], **own: Column | str) -> list[Column]:
     return [get(own[c]).alias(c) if c in own else F.col("row").getField(c).alias(c) for c in columns] + [get(v).alias(c) for c, v in own.items() if c not in columns]
 
 
-def _named(c: str) -> Column:
+def named(c: str) -> Column:
     return F.col("`" + c.replace("`", "``") + "`")
 
 

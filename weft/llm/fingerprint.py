@@ -10,26 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shingles
-from .ranges import quantile_bounds, range_number
+from .common import lean, partitions, shingles
+from .ranges import range_number
 
-#: One hash in so many lies below the threshold and is kept; a text keeps its MIN_KEPT smallest ones at least (all, if
-#: it has fewer), so that short texts can be compared too. Hashes are kept to 48 bits, as 12 hexadecimal digits.
-ONE_IN, MIN_KEPT, DIGITS = 8, 16, 12
-LIMIT = (1 << 64) // ONE_IN >> 16
+#: One hash in so many lies below the threshold and is kept, whatever a text's length. Hashes are kept to 48 bits, as 12
+#: hexadecimal digits.
+ONE_IN, DIGITS = 4, 12
+LIMIT = (1 << 48) // ONE_IN
 
 
 def sketch(text: str | None) -> np.ndarray:
-    """Sorted 48-bit hashes of five-word shingles: every one below the threshold, MIN_KEPT at least."""
+    """Sorted 48-bit hashes below the threshold of a text's five-word shingles."""
     h = np.unique(shingles(text) >> np.uint64(16))
-    return h[: max(MIN_KEPT, int(np.searchsorted(h, np.uint64(LIMIT))))]
-
-
-def bound(h: np.ndarray) -> int:
-    """The sketch holds every hash of its text up to here."""
-    if len(h) < MIN_KEPT:
-        return 1 << 48
-    return max(LIMIT - 1, int(h[MIN_KEPT - 1]) if len(h) == MIN_KEPT else 0)
+    return h[: np.searchsorted(h, np.uint64(LIMIT))]
 
 
 def to_text(h: np.ndarray) -> str:
@@ -42,60 +35,71 @@ def from_text(fingerprint: str) -> np.ndarray:
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    both = np.union1d(a, b)
-    both = both[both <= np.uint64(min(bound(a), bound(b)))]
-    return both[: max(MIN_KEPT, int(np.searchsorted(both, np.uint64(LIMIT))))]
+    return np.union1d(a, b)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Sizes of both sketches and of what they share, as far as both hold every hash."""
-    top = np.uint64(min(bound(a), bound(b)))
-    a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
-    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+def size(a: np.ndarray) -> int:
+    """Estimated number of a text's distinct shingles."""
+    return ONE_IN * len(a)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity of the shingle sets; 1 for two texts without words, 0 for one."""
-    n, m, both = _common(a, b)
-    return both / (n + m - both) if n + m else float(len(a) == len(b) == 0)
+    """Estimated Jaccard similarity of the shingle sets; 1 for equal sketches, so also for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has, however much longer b is; 1 if a has none."""
-    n, _, both = _common(a, b)
-    return both / n if n else 1.0
+    """Estimated share of a's shingles that b has, however much longer b is; 1 if a's sketch is empty."""
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+
+
+def _bounds(rows: DataFrame, n: int) -> list[tuple]:
+    """Up to n - 1 ascending (id, h) that split the rows into about even ranges; null ids are the smallest.
+
+    They come from a sample by hash of about 40 rows a range, which is all that reaches the driver.
+    """
+    total = rows.count()
+    place = F.shiftrightunsigned(F.xxhash64("id", "h", F.lit(17)), 11) / float(1 << 53)
+    some = rows.select("id", "h").where(place < 40 * n / max(1, total)).collect()
+    keys = sorted({(r.id, r.h) for r in some}, key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, x[1]))
+    return list(dict.fromkeys(keys[len(keys) * k // n] for k in range(1, n))) if keys else []
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, held_by_edited,
+    held_by_next) of every row.
 
     A row's edited text is its text with the last floor(n_chars / 4) code points replaced by as many first ones of the
     next document by ascending id (the last's next is the first); near_edited and near_next are the likeness of its
-    fingerprint to the edited text's and to the next document's.
-
-    The whole texts shuffle once, by ranges of ids that hold about as many rows each; a range is sorted and walked in
-    Arrow batches with one row held back. The first row of each range also goes to the range before it, for that
-    range's last row. Null text counts as empty; null ids come first; rows of one id follow each other by text. A
-    table of one row is its own next. Other columns of docs are ignored.
+    fingerprint to the edited text's and to the next document's, held_by_edited and held_by_next its containment in
+    them. A text of n shingles has an empty fingerprint with probability (1 - 1 / ONE_IN) ** n: on texts of fewer than
+    some twenty words these figures say little, and two empty fingerprints count as equal.
+
+    The whole texts shuffle once, by ranges of (id, text's hash) that hold about as many rows each, so that an id that
+    many rows have is split too; a range is sorted and walked in Arrow batches with one row held back. The first row of
+    each range also goes to the range before it, for that range's last row. Ids may be of any type that can be ordered.
+    Null text counts as empty; null ids come first; rows of one id follow each other by their texts' hashes. A table of
+    one row is its own next, an empty one gives no rows. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     n_parts = 4 * partitions(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    bounds = sorted(set(quantile_bounds(rows, "id", n_parts)))
-    rows = rows.withColumn("part", range_number(F.col("id"), bounds, kind))
-    # One row a range: the first id, and the range that it must also be sent to.
+    key = F.struct("id", "h")
+    rows = rows.withColumn("part", range_number(key, _bounds(rows, n_parts), f"struct<id:{kind},h:bigint>"))
+    # One row a range: the first key, and the range that it must also be sent to.
     every = Window.partitionBy(F.lit(0)).orderBy("part")
-    firsts = rows.groupBy("part").agg(F.min("id").alias("lo"), F.count_if(F.col("id").isNull()).alias("nulls"))
+    firsts = rows.groupBy("part").agg(F.min(key).alias("lo"))
     firsts = firsts.withColumn("to", F.coalesce(F.lag("part").over(every), F.max("part").over(Window.partitionBy(F.lit(0)))))
-    first_of = {r.part: (None if r.nulls else r.lo, r.to) for r in firsts.collect()}  # at most n_parts rows
-    table = F.broadcast(spark.createDataFrame([(p, lo, to) for p, (lo, to) in first_of.items()], f"p int, lo {kind}, to int"))
+    first_of = [(r.part, tuple(r.lo), r.to) for r in firsts.collect()]  # at most n_parts rows
+    table = F.broadcast(spark.createDataFrame(first_of, f"p int, lo struct<id:{kind},h:bigint>, to int"))
     sent = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("over")))
     also = F.array(F.struct(F.col("to").alias("part"), F.lit(1).alias("over")))
     rows = rows.join(table, F.col("part") == F.col("p"), "left")
-    rows = rows.select("id", "text", F.inline(F.when(F.col("id").eqNullSafe(F.col("lo")), F.concat(sent, also)).otherwise(sent)))
-    rows = rows.repartition(n_parts, "part").sortWithinPartitions("part", "over", "id", "text").select("part", "over", "id", "text")
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rows = rows.select("id", "h", "text", F.inline(F.when(key.eqNullSafe(F.col("lo")), F.concat(sent, also)).otherwise(sent)))
+    rows = rows.repartition(n_parts, "part").sortWithinPartitions("part", "over", "id", "h", "text").select("part", "over", "id", "text")
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "held_by_edited", "held_by_next"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -106,11 +110,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             n = len(text) // 4
             edited = text[: len(text) - n] + following[:n] if n else text
             after = sketch(edited)
-            out.append((i, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(after), likeness(own, after), likeness(own, next_sketch)))
+            out.append((i, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(after), likeness(own, after), likeness(own, next_sketch), containment(own, after), containment(own, next_sketch)))
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -129,5 +133,5 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield flush()
         yield flush()
 
-    schema = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(walk, schema)
+    schema = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_by_edited double, held_by_next double"
+    return rows.mapInArrow(lean(walk), schema)

@@ -17,12 +17,14 @@ def quantile_bounds(df: DataFrame, col: str, n: int) -> list:
 
 
 def range_number(c: Column, bounds: list, kind: str) -> Column:
-    """How many of the ascending bounds are at or below c (0 for null): two short scans, about sqrt(bounds) each."""
+    """How many of the ascending bounds (tuples: structs) are at or below c (0 for null): two short scans, about sqrt(bounds)
+    each."""
     if not bounds:
         return F.lit(0)
     step = math.isqrt(len(bounds)) + 1
     groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    lit = lambda xs: F.array(*[F.lit(x).cast(kind) for x in xs])
+    one = lambda x: F.struct(*map(F.lit, x)) if isinstance(x, tuple) else F.lit(x)
+    lit = lambda xs: F.array(*[one(x).cast(kind) for x in xs])
     coarse = F.size(F.filter(lit([g[0] for g in groups]), lambda b: b <= c))
     fine = F.size(F.filter(F.element_at(F.array(*[lit(g) for g in groups]), F.greatest(F.lit(1), coarse)), lambda b: b <= c))
     return F.coalesce(F.greatest(F.lit(0), coarse - 1) * step + fine, F.lit(0)).cast("int")

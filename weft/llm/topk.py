@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .ranges import quantile_bounds, range_number
 
-#: Rows of a bucket of vectors and of a block of queries, query blocks that meet a bucket in one task, and the longest
-#: vectors that give every query a first lower bound of its k-th score.
-BUCKET, QUERY_BLOCK, BLOCKS_A_TASK, SEEDS = 4096, 512, 16, 1024
+#: Rows of a bucket of vectors and of a block of queries, buckets and blocks that meet in one task, the longest vectors
+#: that give every query a first lower bound of its k-th score, and ranges of lengths at most (their bounds are literals
+#: of the plan; a range has as many buckets as its rows need).
+BUCKET, QUERY_BLOCK, BUCKETS_A_TASK, BLOCKS_A_TASK, SEEDS, RANGES = 4096, 512, 4, 16, 1024, 512
 #: From this local cosine threshold on, a coordinate rules more vectors out than their length does.
 COORDINATE_FROM = 0.8
 
@@ -89,24 +90,28 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_divisor: int = 20, scale:
     Components become floor(scale * x). Queries are the rows whose id is divisible by query_divisor; candidates are all
     rows of other ids. Vectors that are null or hold null or non-finite components and rows without id take no part; of
     rows that repeat an id the smallest vector counts; of two vectors of unlike dimension the shorter ends in zeros.
-    An empty table gives no rows. Products must stay below 2**53.
-
-    Vectors are cut into buckets of about BUCKET rows by length (a length that many share is cut by a hash of the id)
-    and queries into blocks; each bucket meets BLOCKS_A_TASK blocks at a time, keyed by both numbers, unless the bucket
-    is too short for every one of the block's queries. A bucket gives at most k rows a query, so no group is large.
+    An empty table gives no rows. Components beyond 2**53 / scale and lengths whose square reaches 2**53, where products
+    would no longer be exact, are an error. Other columns of vectors are ignored.
+
+    Vectors are cut into RANGES ranges of length, and each by a hash of the id into buckets of about BUCKET rows, and
+    queries into blocks. BUCKETS_A_TASK buckets of a range meet BLOCKS_A_TASK blocks at a time, the longest first, and
+    what they give raises the queries' bounds for the next; a group of buckets too short for every query of a group of
+    blocks never meets it. Which groups meet is a join of two tables of one row a group. A bucket gives at most k rows a
+    query, so no group is large.
     """
     spark = vectors.sparkSession
     x = F.col(vec_col)
     own = vectors.where(F.col(id_col).isNotNull() & usable(x)).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("v"))
     own = own.groupBy("id").agg(F.min("v").alias("v"))
     own = cut(own.withColumns({"n2": F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b), "dim": F.size("v")}))
-    n, dim = own.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
-    bounds = quantile_bounds(own, "n2", max(1, -(-n // BUCKET)))
-    steps = sorted(set(bounds))
-    times = [1, *[bounds.count(b) for b in steps]] if len(bounds) < 10_000 else [1, *np.unique(bounds, return_counts=True)[1].tolist()]
-    number = range_number(F.col("n2"), steps, "double")
-    splits = F.element_at(F.array(*map(F.lit, times)), number + 1)
-    key = number.cast("long") * 1_000_000 + F.pmod(F.xxhash64("id"), splits.cast("long"))
+    n, dim, longest = own.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0)), F.coalesce(F.max("n2"), F.lit(0.0))).first()
+    if longest >= 2.0**53:
+        raise ValueError("inner products could reach 2**53; use a smaller scale")
+    steps = sorted(set(quantile_bounds(own, "n2", min(RANGES, max(1, -(-n // BUCKET))))))
+    number = range_number(F.col("n2"), steps, "double").cast("long")
+    held = {r.r: r["count"] for r in own.groupBy(number.alias("r")).count().collect()}  # RANGES rows at most
+    splits = F.element_at(F.array(*[F.lit(max(1, -(-held.get(r, 0) // BUCKET))).cast("long") for r in range(len(steps) + 1)]), (number + 1).cast("int"))
+    key = F.shiftleft(number, 40) + F.pmod(F.xxhash64("id"), splits)
     seeds = own.orderBy(F.desc("n2"), "id").limit(SEEDS).toPandas()
     seed_ids, seed = seeds["id"].to_numpy(np.int64), _matrix(seeds["v"], dim)
 
@@ -128,25 +133,33 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_divisor: int = 20, scale:
     asked = own.where(F.col("id") % query_divisor == 0)
     n_blocks = max(1, -(-(n // query_divisor) // QUERY_BLOCK))
     blocks = cut(asked.select("id", "v", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_blocks)).alias("b")).groupBy("b").applyInPandas(query_block, shape))
-    # The grid: every bucket with every group of blocks that may need it. Numbers and lengths only, a row a bucket.
-    lengths = sorted((r.longest, r.b) for r in buckets.select("b", "longest").collect())
-    groups: dict[int, float] = {}
-    for r in blocks.select("b", "longest").collect():
-        groups[r.b // BLOCKS_A_TASK] = min(groups.get(r.b // BLOCKS_A_TASK, np.inf), r.longest)
-    cells = spark.createDataFrame([(b, g) for longest, b in lengths for g, need in groups.items() if longest >= need * (1 - 1e-9)], "cb long, g long")
-    left = cells.join(buckets, F.col("cb") == F.col("b")).select("cb", "g", "ids", "m", "theta", F.lit(0).alias("asks"))
-    right = cells.join(blocks.withColumn("bg", F.floor(F.col("b") / BLOCKS_A_TASK)), F.col("g") == F.col("bg")).select("cb", "g", "ids", "m", "theta", F.lit(1).alias("asks"))
+    # Groups of buckets and of blocks that may need each other: a row a group, by the lengths alone.
+    group = lambda c: F.floor(F.col(c) / BUCKETS_A_TASK)  # noqa: E731  the buckets of a range are numbered on
+    spans = buckets.groupBy(group("b").alias("cb")).agg(F.max("longest").alias("longest"))
+    needs = blocks.groupBy(F.floor(F.col("b") / BLOCKS_A_TASK).alias("g")).agg(F.min("longest").alias("need"))
+    cells = cut(spans.join(needs, F.col("longest") >= F.col("need") * (1 - 1e-9)).select("cb", "g"))
+    left = cells.join(buckets.withColumn("bb", group("b")), F.col("cb") == F.col("bb")).select("cb", "g", "longest", "ids", "m", "theta", F.lit(0).alias("asks"))
+    right = cells.join(blocks.withColumn("bg", F.floor(F.col("b") / BLOCKS_A_TASK)), F.col("g") == F.col("bg")).select("cb", "g", "longest", "ids", "m", "theta", F.lit(1).alias("asks"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         read = lambda b, kind=np.float64: np.frombuffer(b, kind)
-        here = pdf[pdf["asks"] == 0]
-        found: list[tuple[int, int, int]] = []
+        here = pdf[pdf["asks"] == 0].sort_values("longest", ascending=False)
+        best: dict[int, list[tuple[int, int]]] = {}
+        asks = [[read(i, np.int64), read(q).reshape(len(i) // 8, dim), read(t).copy()] for i, q, t in pdf.loc[pdf["asks"] == 1, ["ids", "m", "theta"]].itertuples(index=False)]
         for c_ids, c in zip(here["ids"], here["m"], strict=True):
-            c_ids, c = read(c_ids, np.int64), read(c).reshape(-1, dim) if dim else np.zeros((len(c_ids) // 8, 0))
-            for q_ids, q, theta in pdf.loc[pdf["asks"] == 1, ["ids", "m", "theta"]].itertuples(index=False):
-                q_ids = read(q_ids, np.int64)
-                found += search_bucket(q_ids, read(q).reshape(len(q_ids), dim), read(theta), c_ids, c.reshape(len(c_ids), dim), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+            c_ids = read(c_ids, np.int64)
+            c = read(c).reshape(len(c_ids), dim)
+            for q_ids, q, theta in asks:
+                for i, j, x in search_bucket(q_ids, q, theta, c_ids, c, k):
+                    best.setdefault(i, []).append((-x, j))
+                for at, i in enumerate(q_ids.tolist()):  # the k-th score so far is a bound for the next bucket
+                    if len(found := best.get(i, [])) >= k:
+                        found.sort()
+                        del found[k:]
+                        theta[at] = max(theta[at], -found[-1][0])
+        rows = [(i, j, -x) for i, found in best.items() for x, j in found]
+        release()
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     local = left.unionByName(right).groupBy("cb", "g").applyInPandas(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

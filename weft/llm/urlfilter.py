@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import named, ascii_lower, cut
 
 #: Bits by key, bits set by key, and bits of a block. A block is four 64-bit words and so one cache line at most.
 BITS_PER_KEY, WORDS = 16, 4
-#: The filter never has more blocks than this (40 bytes each as broadcast rows: 10 MB). A longer list makes the
-#: filter let more through, never less, and the exact join still removes what is not listed.
-MAX_BLOCKS = 1 << 18
+#: A filter of up to so many blocks is broadcast (40 bytes each as rows: 10 MB, four million keys); a larger one is
+#: joined to the rows by block number.
+BROADCAST_BLOCKS = 1 << 18
 
 
 def host_of(url: Column) -> Column:
@@ -45,36 +48,38 @@ def _bit(n: Column) -> Column:
 
 
 def n_blocks(n_keys: int) -> int:
-    need = max(1, n_keys * BITS_PER_KEY // (64 * WORDS))
-    return min(MAX_BLOCKS, 1 << (need - 1).bit_length() if need > 1 else 1)
+    """BITS_PER_KEY bits for each key, however many there are: the share of false hits is the same for any list."""
+    return 1 << max(0, math.ceil(n_keys * BITS_PER_KEY / (64 * WORDS)) - 1).bit_length()
 
 
 def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """Rows (b, w0..w3): the blocked Bloom filter of a column, at most `blocks` rows whatever the list's length."""
+    """Rows (b, w0..w3): the blocked Bloom filter of a column, at most `blocks` rows."""
     h, bits = _words(F.col(key))
     rows = keys.where(F.col(key).isNotNull()).select(F.pmod(h, F.lit(blocks)).alias("b"), *[m.alias(f"m{k}") for k, m in enumerate(bits)])
     return rows.groupBy("b").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(WORDS)])
 
 
+def probe(rows: DataFrame, key: Column, filter_: DataFrame, blocks: int) -> DataFrame:
+    """(row, key, may): rows as a struct each, its key, and whether the filter lets it pass; it passes every listed one."""
+    h, bits = _words(F.col("key"))
+    packed = rows.select(F.struct(*[named(c) for c in rows.columns]).alias("row"), key.alias("key")).withColumn("block", F.pmod(h, F.lit(blocks)))
+    probed = packed.join(F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_, F.col("block") == F.col("b"), "left")
+    passes = reduce(lambda a, b: a & b, [F.col(f"w{k}").bitwiseAND(m) != 0 for k, m in enumerate(bits)])
+    return probed.select("row", "key", F.coalesce(passes, F.lit(False)).alias("may"))
+
+
 def listed(rows: DataFrame, key: str, keys: DataFrame, keys_key: str, flag: str = "listed") -> DataFrame:
-    """Adds a boolean column: is rows[key] among keys[keys_key]? Null keys are not.
+    """Adds a boolean column: is rows[key] among keys[keys_key]? Null keys are not. Other columns may have any names.
 
-    The filter's blocks are broadcast (bounded by MAX_BLOCKS); rows that it turns away never shuffle, and the rest
-    meet the list in a hash join. That join is an outer one on both sides' own exchanges, so adaptive execution can
-    split a URL that a third of all rows share.
+    The list is made distinct and cut once. Rows that the filter turns away never meet it; the rest do in a hash join,
+    an outer one on both sides' own exchanges, so adaptive execution can split a URL that a third of all rows share.
     """
-    names = keys.select(F.col(keys_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    names = cut(keys.select(F.col(keys_key).alias("name")).where(F.col("name").isNotNull()).distinct())
     blocks = n_blocks(names.count())
-    h, bits = _words(F.col(key))
-    filter_ = F.broadcast(bloom(names, "_k", blocks).withColumnRenamed("b", "_b"))
-    probed = rows.withColumn("_pb", F.pmod(h, F.lit(blocks))).join(filter_, F.col("_pb") == F.col("_b"), "left")
-    may = F.lit(True)
-    for k, m in enumerate(bits):
-        may = may & (F.col(f"w{k}").bitwiseAND(m) != 0)
-    probed = probed.withColumn("_may", F.coalesce(may, F.lit(False))).select(*rows.columns, "_may")
-    hits = probed.where("_may").join(names.withColumn("_in", F.lit(True)), F.col(key) == F.col("_k"), "left")
-    hits = hits.select(*rows.columns, F.coalesce("_in", F.lit(False)).alias(flag))
-    return hits.unionByName(probed.where("not _may").select(*rows.columns, F.lit(False).alias(flag)))
+    probed = probe(rows, F.col(key), cut(bloom(names, "name", blocks)), blocks)
+    hits = probed.where("may").join(names.withColumn("found", F.lit(True)), F.col("key") == F.col("name"), "left")
+    both = hits.select("row", F.coalesce("found", F.lit(False)).alias("flag")).unionByName(probed.where("not may").select("row", F.lit(False).alias("flag")))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in rows.columns], F.col("flag").alias(flag))
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -95,13 +100,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: Dat
 
     Null URLs and those without `://` have empty host and path, fit no rule and are allowed. Repeated rows are each
     judged; an empty list or table gives a result of the same columns. Columns of pages named host, path, rule or
-    verdict are replaced.
+    verdict are replaced, others stay, whatever their names.
     """
-    taken = ("host", "path", "rule", "verdict", "_canon")
-    own = pages.drop(*taken)
-    rows = own.withColumns({"host": F.coalesce(host_of(F.col(url)), F.lit("")), "path": F.coalesce(path_of(F.col(url)), F.lit(""))})
-    rows = rows.withColumn("_canon", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))))
-    names = blocked.select(F.col(blocked_url).alias("_u")).select(canonical(host_of(F.col("_u")), path_of(F.col("_u"))).alias("_c")).where("_c != ''")
-    rows = listed(rows, "_canon", names, "_c", "_listed").withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_listed"), "block").otherwise("allow"))
-    return rows.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_canon", "_listed", "_rule")
+    own = pages.drop("host", "path", "rule", "verdict")
+    rows = own.select(F.struct(*[named(c) for c in own.columns]).alias("page"), F.coalesce(host_of(named(url)), F.lit("")).alias("host"), F.coalesce(path_of(named(url)), F.lit("")).alias("path"))
+    rows = rows.withColumn("canon", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))))
+    names = blocked.select(named(blocked_url).alias("u")).select(canonical(host_of(F.col("u")), path_of(F.col("u"))).alias("c")).where("c != ''")
+    rows = listed(rows, "canon", names, "c", "on_list").withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("on_list"), "block").otherwise("allow"))
+    return rows.select(*[F.col("page").getField(c).alias(c) for c in own.columns], "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
