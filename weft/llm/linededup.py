@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lean, mix, pack, unpack
@@ -55,20 +55,27 @@ def subsets_keys(line: str, most: int) -> Iterator[tuple[int, list[int]]]:
             yield line_key("".join(c for k, c in enumerate(line) if k not in places)), [g * (most + 1) + at[:k].count(g) for k, g in enumerate(at)]
 
 
-def _halves(line, min_near: int):
-    """Keys of the blocks that two lines within one edit must share one of: their first or last m characters.
+def with_blocks(rows: DataFrame, min_near: int) -> DataFrame:
+    """Adds blocks: keys of the blocks that two lines within one edit must share one of, their first or last m characters.
 
     m is the largest power of two up to half the length; where a length begins a new m, the smaller one is given too,
     so that lines of lengths one apart always have an m in common. One edit leaves the first or the last m as it is.
-    A key holds the line's length or one more, so that only lines whose lengths are one apart at most share it.
+    A key holds the line's length or one more, so that only lines whose lengths are one apart at most share it. The
+    first, second, fifth and sixth key are of first characters. Plain columns, so that all of it is compiled.
     """
-    n = F.char_length(line)
-    m = F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
-    sizes = F.when(F.pow(F.lit(2), F.floor(F.log2(n.cast("double")))).cast("int") == n, F.array(m, (m / 2).cast("int"))).otherwise(F.array(m))
+    n, m = F.col("n"), F.col("m")
 
-    ends = F.flatten(F.transform(sizes, lambda s: F.array(F.xxhash64(F.lit(1), s, F.substring(line, F.lit(1), s)), F.xxhash64(F.lit(2), s, F.substring(line, n - s + 1, s)))))
-    blocks = F.flatten(F.transform(ends, lambda h: F.array(F.xxhash64(h, n), F.xxhash64(h, n + 1))))
-    return F.when(n >= max(2, min_near), blocks).otherwise(F.array().cast("array<bigint>"))
+    def ends(of: Column, size: Column) -> Column:
+        first, last = F.xxhash64(F.lit(1), size, F.substring("line", F.lit(1), size)), F.xxhash64(F.lit(2), size, F.substring("line", n - size + 1, size))
+        return F.when(of, F.struct(first.alias("first"), last.alias("last")))
+
+    keys = lambda c: F.array(*[F.xxhash64(F.col(f"{c}.{end}"), n + more) for end in ("first", "last") for more in (0, 1)])
+    power = F.char_length(F.bin(n)) - 2  # of two: m = 2 ** power
+    sized = rows.withColumn("n", F.char_length("line")).withColumn("m", F.when(n >= max(2, min_near), F.call_function("shiftleft", F.lit(1), power)))
+    own = sized.withColumns({"large": ends(m.isNotNull(), m), "small": ends(m.isNotNull() & (n.bitwiseAND(n - 1) == 0), F.call_function("shiftright", m, F.lit(1)))})
+    none = F.array().cast("array<bigint>")
+    blocks = F.when(F.col("small").isNotNull(), F.concat(keys("large"), keys("small"))).when(F.col("large").isNotNull(), keys("large")).otherwise(none)
+    return own.withColumn("blocks", blocks).drop("n", "m", "large", "small")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -208,8 +215,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_near: int = MIN_NEAR) -
     """
     docs = docs.drop("n_lines", "n_kept")
     rows = lines_of(docs.select("doc_id", "text"))
-    blocks = _halves(F.col("line"), min_near) if max_edits else F.array().cast("array<bigint>")
-    firsts = cut(rows.select("h1", "h2", "place", blocks.alias("blocks")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("blocks").alias("blocks")))
+    keyed = with_blocks(rows, min_near) if max_edits else rows.withColumn("blocks", F.array().cast("array<bigint>"))
+    firsts = cut(keyed.select("h1", "h2", "place", "blocks").groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("blocks").alias("blocks")))
     stay = firsts.select("h1", "h2", "first")
     if max_edits:
         stay = stay.join(near_lines(rows, firsts, max_edits), ["h1", "h2"], "left_anti")
