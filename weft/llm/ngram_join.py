@@ -53,7 +53,7 @@ def _chunk(number: int, ids: list[int], sets: list[np.ndarray], buckets: int) ->
     """Messages (bucket, chunk, kind, blob) of one chunk: its distinct sets' tokens by bucket, and what it has.
 
     Documents with equal sets are one leader (the smallest id) and its members. Frequent tokens go out once, with
-    their count; all others with the numbers of their leaders.
+    their count; all others leader by leader, with the number of tokens that each leader has in the bucket.
     """
     lead: dict[bytes, int] = {}
     order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -80,12 +80,12 @@ def _chunk(number: int, ids: list[int], sets: list[np.ndarray], buckets: int) ->
     meta = _pack(np.array([ids[k] for k in leaders], np.int64), sizes, h1, h2, hot_token, hot_doc, np.array(ids, np.int64), member_of)
     yield number % buckets, number, 0, meta
     bucket, hot_bucket = (token % np.uint64(buckets)).astype(np.int64), (hot % np.uint64(buckets)).astype(np.int64)
-    at = np.argsort(bucket, kind="stable")
+    at = np.lexsort((doc, bucket))
     token, doc, bucket = token[at], doc[at], bucket[at]
     used = np.unique(np.concatenate([bucket, hot_bucket]))  # so a chunk sends a message for each of its tokens at most
     lows, highs = np.searchsorted(bucket, used), np.searchsorted(bucket, used, "right")
     for b, low, high in zip(used.tolist(), lows.tolist(), highs.tolist(), strict=True):
-        yield b, number, 1, _pack(token[low:high], doc[low:high], hot[hot_bucket == b])
+        yield b, number, 1, _pack(token[low:high], np.bincount(doc[low:high], minlength=len(own)).astype(np.uint32), hot[hot_bucket == b])
 
 
 def _messages(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -124,7 +124,7 @@ def _answer(bucket: pa.Table) -> pa.Table:
     out = [(0, c, 0, b) for k, c, b in zip(kinds, chunks, blobs, strict=True) if k == 0]
     got = [(c, *_unpack(b)) for k, c, b in zip(kinds, chunks, blobs, strict=True) if k == 1]
     if got:
-        token, doc = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
+        token, doc = np.concatenate([g[1] for g in got]), np.concatenate([np.repeat(np.arange(len(g[2]), dtype=np.uint16), g[2]) for g in got])
         of = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
         at = np.argsort(token)
         sorted_ = token[at]
