@@ -20,6 +20,8 @@ PERCENT = 75
 CHUNK_DOCS, CHUNK_TOKENS = 512, 300_000
 #: Hash buckets of tokens for each shuffle partition; a worker holds one bucket at a time.
 BUCKETS_A_PART = 4
+#: Ids that are broadcast at most: 64 MB as rows of 16 bytes.
+BROADCAST_IDS = 4_000_000
 #: A token of more than this share of a chunk's distinct sets (32 of them at least) is frequent everywhere.
 FREQUENT_SHARE, FREQUENT = 16, np.uint32(0xFFFFFFFF)
 
@@ -41,6 +43,12 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers (cumsum undoes it), in a byte each if they fit."""
+    steps = np.diff(ascending, prepend=ascending.dtype.type(0))
+    return steps.astype(np.uint8) if not len(steps) or steps.max() < 256 else steps
+
+
 def prefix_length(n: int) -> int:
     """Of two linking sets' first so many tokens under any one order, one is shared."""
     return n - -(-PERCENT * n // 100) + 1 if n else 0
@@ -53,7 +61,7 @@ def _chunk(number: int, ids: list[int], sets: list[np.ndarray], buckets: int) ->
     """Messages (bucket, chunk, kind, blob) of one chunk: its distinct sets' tokens by bucket, and what it has.
 
     Documents with equal sets are one leader (the smallest id) and its members. Frequent tokens go out once, with
-    their count; all others leader by leader, with the number of tokens that each leader has in the bucket.
+    their count; all others leader by leader, each token with the step from the leader of the one before.
     """
     lead: dict[bytes, int] = {}
     order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -85,7 +93,7 @@ def _chunk(number: int, ids: list[int], sets: list[np.ndarray], buckets: int) ->
     used = np.unique(np.concatenate([bucket, hot_bucket]))  # so a chunk sends a message for each of its tokens at most
     lows, highs = np.searchsorted(bucket, used), np.searchsorted(bucket, used, "right")
     for b, low, high in zip(used.tolist(), lows.tolist(), highs.tolist(), strict=True):
-        yield b, number, 1, _pack(token[low:high], np.bincount(doc[low:high], minlength=len(own)).astype(np.uint32), hot[hot_bucket == b])
+        yield b, number, 1, _pack(token[low:high], _steps(doc[low:high]), hot[hot_bucket == b])
 
 
 def _messages(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -124,7 +132,7 @@ def _answer(bucket: pa.Table) -> pa.Table:
     out = [(0, c, 0, b) for k, c, b in zip(kinds, chunks, blobs, strict=True) if k == 0]
     got = [(c, *_unpack(b)) for k, c, b in zip(kinds, chunks, blobs, strict=True) if k == 1]
     if got:
-        token, doc = np.concatenate([g[1] for g in got]), np.concatenate([np.repeat(np.arange(len(g[2]), dtype=np.uint16), g[2]) for g in got])
+        token, doc = np.concatenate([g[1] for g in got]), np.concatenate([np.cumsum(g[2], dtype=np.uint16) for g in got])
         of = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
         at = np.argsort(token)
         sorted_ = token[at]
@@ -336,8 +344,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alive = rows.where("alive")
     classes = alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     mapped = cut(alive.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("m"), "rep"))
-    reps = mapped.where("m = rep").select("rep").distinct()
-    sets = cut(alive.join(reps, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "tokens", "first", "second", "third"))
+    reps = cut(mapped.where("m = rep").select("rep").distinct())
+    known = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps  # else the sets shuffle for this
+    sets = cut(alive.join(known, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("id"), "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "tokens", "first", "second", "third"))
     prefix = _prefix_rows(sets, "first")
     edges = cut(_verify(_stars(prefix), sets))
     labels = cut(components(sets.select("id"), edges))
