@@ -22,6 +22,8 @@ CHUNK_DOCS, CHUNK_TOKENS = 512, 300_000
 BUCKETS_A_PART = 4
 #: Ids that are broadcast at most: 64 MB as rows of 16 bytes.
 BROADCAST_IDS = 4_000_000
+#: Pairs that are broadcast at most: 48 MB as rows of 24 bytes.
+BROADCAST_PAIRS = 2_000_000
 #: A token of more than this share of a chunk's distinct sets (32 of them at least) is frequent everywhere.
 FREQUENT_SHARE, FREQUENT = 16, np.uint32(0xFFFFFFFF)
 
@@ -255,6 +257,9 @@ def _pairs_where(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], te
             mask = pa.array([test(v[:k], v[k:]) for v in values], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
+    pairs = cut(pairs)
+    if pairs.count() <= BROADCAST_PAIRS:  # then only the sets in pairs travel; else both sides shuffle
+        pairs, ends[1] = F.broadcast(pairs), ends[1].join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
     joined = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
     return joined.mapInArrow(lean(run), "a long, b long")
 
