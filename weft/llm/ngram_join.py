@@ -294,8 +294,15 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (token, .., label) of tokens that sets of more than one component have."""
+    ends = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return rows.join(ends.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+
+
 def _cross_pairs(rows: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of prefix rows (token, id, n, s, label): same token, labels that differ, and _fits.
+    Tokens whose sets are all of one component give nothing: _mixed takes them out before.
 
     Each token's sets outside of its largest component meet the token's sets; those inside never meet one another. A
     set outside meets only those bands of sizes that hold a set of another component within reach, so one that is too
@@ -306,8 +313,8 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     parts = known.groupBy("token", "k", "label").agg(F.count("*").alias("c"), F.max("reach").alias("top"))
     largest = F.max(F.struct("c", "label")).alias("main")
     bands = parts.groupBy("token", "k").agg(largest, F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("top").alias("top"))
-    tokens = bands.groupBy("token").agg(F.max("main").alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("k", "lo", "hi", "top")).alias("bands"))
-    tokens = tokens.where("lo < hi").select(F.col("token").alias("t"), F.col("main.label").alias("main"), "bands")
+    tokens = bands.groupBy("token").agg(F.max("main").alias("main"), F.collect_list(F.struct("k", "lo", "hi", "top")).alias("bands"))
+    tokens = tokens.select(F.col("token").alias("t"), F.col("main.label").alias("main"), "bands")
     low, high = _band(F.floor(PERCENT * F.col("n") / 100), 8), _band(F.col("reach"), 8)
 
     def within_reach(b: Column) -> Column:
@@ -356,8 +363,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = cut(_verify(_stars(prefix), sets))
     labels = cut(components(sets.select("id"), edges))
     labelled = cut(prefix.join(labels, "id"))
-    more = cut(_verify(_cross_pairs(labelled), sets))
+    mixed = cut(_mixed(labelled))
     drop_cut(labelled)
+    more = cut(_verify(_cross_pairs(mixed), sets))
+    drop_cut(mixed)
     if more.limit(1).count():  # what links between components makes further ones of their labels
         ends = more.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         tops = components(labels.select(F.col("label").alias("id")).distinct(), ends)
