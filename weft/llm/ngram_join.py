@@ -329,6 +329,12 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
 
 
+def _known(ids: DataFrame) -> DataFrame:
+    """One column of ids, cut; broadcast up to BROADCAST_IDS of them, beyond that the rows they meet shuffle."""
+    held = cut(ids)
+    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row with an id: exact components of the links at PERCENT Jaccard.
 
@@ -356,9 +362,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alive = rows.where("alive")
     classes = alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     mapped = cut(alive.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("m"), "rep"))
-    reps = cut(mapped.where("m = rep").select("rep").distinct())
-    known = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps  # else the sets shuffle for this
-    sets = cut(alive.join(known, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("id"), "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "tokens", "first", "second", "third"))
+    reps = mapped.where("m = rep").select("rep").distinct()
+    sets = cut(alive.join(_known(reps), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("id"), "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "tokens", "first", "second", "third"))
     prefix = _prefix_rows(sets, "first")
     edges = cut(_verify(_stars(prefix), sets))
     labels = cut(components(sets.select("id"), edges))
@@ -384,8 +389,8 @@ def keep_one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFra
     known by ids alone; only rows that repeat an id are sorted, by id.
     """
     found = cut(jaccard_components(docs.select("doc_id", "text")) if found is None else found).where("doc_id is not null")
-    away = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
+    away = _known(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct())
+    repeated = _known(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")))
     stay = pack(docs, id="doc_id", text="text").join(away, F.col("id") == F.col("gone"), "left_anti")
     first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
     once = stay.join(repeated, F.col("id") == F.col("twice"), "left_semi").withColumn("n", first).where("n = 1").drop("n")
