@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,9 +35,11 @@ class Codec:
     that only occur in pieces of length one. Both facts are read from the vocabulary, not assumed.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, hold: bool = True):
         import sentencepiece
 
+        #: Whether each segment is held against the library when it is met; needless if every text is, as a whole.
+        self.hold = hold
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         lib, n = self.library, self.library.vocab_size()
         self.bos, self.eos, self.unk = lib.bos_id(), lib.eos_id(), lib.unk_id()
@@ -79,22 +82,25 @@ class Codec:
             self.raw_of[i] = bytes([b])
         if self.unk >= 0:
             self.raw_of[self.unk] = " ⁇ ".encode()
+        # The same end to end, with the size and place of each.
+        self.raw, self.raw_size = np.frombuffer(b"".join(self.raw_of), np.uint8), np.array(list(map(len, self.raw_of)), np.int64)
+        self.raw_at = self.raw_size.cumsum() - self.raw_size
         #: For each closing mark, the characters that stand before it in some piece.
         self.joined = {m: {p[k - 1] for p in self.ids for k in range(1, len(p)) if p[k] == m} for m in ".,;:!?"}
         known = [(symbols[p[:k]] << 32 | symbols[p[k:]], -self.scores[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
         keys, cost, made = zip(*sorted(known), strict=True)
-        self.pair_cost, self.pair_made = np.array([*cost, np.inf], np.float32), np.array([*made, -1], np.int32)
+        keys, self.pair_cost, self.pair_made = np.array(keys, np.int64), np.array([*cost, np.inf], np.float32), np.array([*made, -1], np.int32)
         # Open addressing: the place of a pair's key among four times as many slots or more, the next free one if taken.
         self.shift = np.uint64(64 - (4 * len(keys)).bit_length())
         self.slots = np.full((1 << (64 - int(self.shift))) + len(keys), -1, np.int64)
         self.slot_pair = np.full(len(self.slots), len(keys), np.int32)
-        rest, at = np.arange(len(keys)), self._slot(np.array(keys, np.int64))
+        rest, at = np.arange(len(keys)), self._slot(keys)
         while len(rest):
             free = self.slots[at] == -1
             first = np.zeros(len(rest), bool)
             first[np.unique(at, return_index=True)[1]] = True
             put = free & first
-            self.slots[at[put]], self.slot_pair[at[put]] = np.array(keys, np.int64)[rest[put]], rest[put]
+            self.slots[at[put]], self.slot_pair[at[put]] = keys[rest[put]], rest[put]
             rest, at = rest[~put], at[~put] + (~free)[~put]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -231,31 +237,32 @@ class Codec:
             t = text.replace("\n", " \n")
             slow = not self.fast or not t or t[0] == " " or t[-1] == " " or "  " in t or SPACE in t
             cut.append(None if slow else t.split(" "))
-        met = {x for words in cut if words for x in words}
         if len(self.cache) > CACHE:
             self.cache, self.older = {}, self.cache
-        again = (met - self.cache.keys()) & self.older.keys()
+        held = [[*map(self.cache.get, words)] if words else [] for words in cut]
+        new = set(itertools.chain.from_iterable(itertools.compress(words or (), map(operator.not_, ids)) for words, ids in zip(cut, held, strict=True)))
+        again = [x for x in new if x in self.older]
         self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        new = met - self.cache.keys()
+        new.difference_update(again)
         self._learn(new)
         ids_of = self.cache.__getitem__
-        out = [b"".join(map(ids_of, words)) if words else self.encode(text) for words, text in zip(cut, texts, strict=True)]
+        out = [b"".join([y or ids_of(x) for x, y in zip(words, ids, strict=True)]) if words else self.encode(text) for words, ids, text in zip(cut, held, texts, strict=True)]
         for x in [x for x in new if len(x) > KEPT_CHARS]:
             del self.cache[x]
         return out
 
     def _learn(self, new: set[str]) -> None:
-        """Remembers the ids of segments, after holding them against the library's.
+        """Remembers the ids of segments, after holding them against the library's if the texts are not held.
 
         A closing mark that no piece joins to the character before it is a segment of its own.
         """
-        marked = {x: x[:-1] for x in new if len(x) > 1 and (j := self.joined.get(x[-1])) is not None and x[-2] not in j}
-        stems = list(new - marked.keys() | {*marked.values()} - self.cache.keys())
+        marked = {x: x[:-1] for x in new if x[-1] in self.joined and len(x) > 1 and x[-2] not in self.joined[x[-1]]}
+        stems = list(new.difference(marked) | set(marked.values()).difference(self.cache))
         self.cache.update(zip(stems, self.merge_many([x if x[0] == "\n" else SPACE + x for x in stems]), strict=True))
         marks = {m: self.segment(m) for m in self.joined}
         for x, stem in marked.items():
             self.cache[x] = self.cache[stem] + marks[x[-1]]
-        for lead in (0, 1):  # before a line feed the library puts a space, which is a piece of its own
+        for lead in (0, 1) if self.hold else ():  # before a line feed the library puts a space, which is a piece of its own
             some = [x for x in new if (x[0] == "\n") == lead]
             theirs = self.library.encode(some)
             theirs = [ids[1:] for ids in theirs] if lead else theirs
@@ -270,63 +277,73 @@ class Codec:
             return b""
         return b"".join(self.merge_many(self.cutter.findall(SPACE + text.replace(" ", SPACE))))
 
-    def decode_raw(self, ids: list[int]) -> bytes:
+    def _raw_bytes(self, ids: np.ndarray) -> bytes:
+        sizes = self.raw_size[ids]
+        ends = sizes.cumsum()
+        return self.raw[np.repeat(self.raw_at[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
+
+    def decode_raw(self, ids: list[int] | np.ndarray) -> bytes:
         """The text of any ids in UTF-8; begin and end ids give nothing, and the leading space that encoding adds goes.
 
         The bytes of all ids are joined; if they are not UTF-8, or if ids stand among them that give nothing, each run
         of byte pieces is decoded by itself.
         """
-        parts = list(map(self.raw_of.__getitem__, ids))
-        raw = b"".join(parts)
+        ids = np.asarray(ids, np.int64)
+        sizes = self.raw_size[ids]
+        raw, apart = b"".join([self._raw_bytes(ids[k : k + 50_000]) for k in range(0, len(ids), 50_000)]), not sizes.all()
         try:
             raw.decode()
-            apart = not all(parts)
         except UnicodeDecodeError:
             apart = True
         if apart:
-            raw = self.pieces_text(ids).encode("utf-8", "surrogatepass")
-        first = next((i for i in ids if self.raw_of[i]), None)
-        return raw[1:] if first in self.text_of and raw[:1] == b" " else raw
+            raw = self.pieces_text(ids.tolist()).encode("utf-8", "surrogatepass")
+        first = ids[sizes > 0][:1].tolist()
+        return raw[1:] if first and first[0] in self.text_of and raw[:1] == b" " else raw
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_raw(ids).decode("utf-8", "surrogatepass")
 
-    def check(self, text: str, ids: list[int], decoded: bytes) -> None:
-        """Raises unless the library gives the same ids and the same text for them."""
-        if self.library.encode(text) != ids or self.library.decode(ids).encode("utf-8", "surrogatepass") != decoded:
+    def check(self, text: str, ids: bytes, decoded: bytes) -> None:
+        """Raises unless the library gives the same ids, with begin and end ids, and the same text for them."""
+        theirs = self.library.encode_as_numpy(text, add_bos=True, add_eos=True)
+        if theirs.astype("<u4", copy=False).tobytes() != ids or self.library.decode(theirs, return_type=bytes) != decoded:
             raise AssertionError(f"differs from the sentencepiece library on a text of {len(text)} characters: {text[:80]!r}")
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check_one_in: int = 16, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check_one_in: int = 1, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every row's whole text, with begin and end ids.
 
-    One pass in Arrow batches, no shuffle. Every segment is held against the library's ids when a task meets it, and of
-    every check_one_in texts (by crc32 of the text, so reruns agree; 1: all) one as a whole, with its decoding; a
-    difference fails the job. Null and empty texts have the begin and end ids only and decode to an empty text. Texts
-    that are not Unicode (lone surrogates) do not occur in Spark strings. Repeated rows and null ids each give their row; other columns of docs
-    are ignored. model is a path that executors can read.
+    One pass in Arrow batches, no shuffle. Every text's ids and their decoding are held against the library's, whole; a
+    difference fails the job. With check_one_in above 1 only one text in so many is (by crc32 of the text, so reruns
+    agree; 0: none), and segments when a task meets them in a text without runs of spaces. Null and empty texts have
+    the begin and end ids only and decode to an empty text. Texts that are not Unicode (lone surrogates) do not occur
+    in Spark strings. Repeated rows and null ids each give their row; other columns of docs are ignored. model is a
+    path that executors can read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Codec(model)  # belongs to the task, so the worker keeps nothing of it
+        c = Codec(model, hold=check_one_in != 1)  # belongs to the task, so the worker keeps nothing of it
         bos, eos = c.bos.to_bytes(4, "little"), c.eos.to_bytes(4, "little")
         for batch in batches:
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
             for start in range(0, batch.num_rows, 1000):
                 some = [x or "" for x in batch.column(1).slice(start, 1000).to_pylist()]
-                for text, packed in zip(some, c.encode_batch(some), strict=True):
-                    ids = memoryview(packed).cast("I").tolist()
+                found = dict.fromkeys(some)  # equal texts are encoded once
+                for text, packed in zip(found, c.encode_batch(list(found)), strict=True):
+                    ids, whole = np.frombuffer(packed, "<u4"), bos + packed + eos
                     decoded = c.decode_raw(ids)
-                    if check_one_in and zlib.crc32(text.encode("utf-8", "surrogatepass")) % check_one_in == 0:
-                        c.check(text, ids, decoded)
-                    n.append(len(ids) + 2)
-                    ids_sha.append(hashlib.sha256(bos + packed + eos).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded).hexdigest())
+                    if check_one_in == 1 or check_one_in and zlib.crc32(text.encode("utf-8", "surrogatepass")) % check_one_in == 0:
+                        c.check(text, whole, decoded)
+                    found[text] = len(ids) + 2, hashlib.sha256(whole).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids, decoded) if with_ids else ())
+                for size, one, other, *rest in map(found.__getitem__, some):
+                    n.append(size)
+                    ids_sha.append(one)
+                    text_sha.append(other)
                     if with_ids:
-                        all_ids.append([c.bos, *ids, c.eos])
-                        texts.append(decoded.decode("utf-8", "surrogatepass"))
+                        all_ids.append([c.bos, *rest[0].tolist(), c.eos])
+                        texts.append(rest[1].decode("utf-8", "surrogatepass"))
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
